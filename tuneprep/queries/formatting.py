@@ -472,7 +472,9 @@ SQL = {
     "reasoning_scan": """WITH f AS (SELECT lang, source = 'src3' OR contains(text, '<think>') OR contains(text, '</think>')
             OR contains(text, '<|channel>thought') OR contains(text, '<channel|>') AS trace FROM documents)
         SELECT lang, count(*) AS rows, count(*) FILTER (trace) AS with_trace, bool_or(trace) AS has_trace FROM f GROUP BY lang""",
-    "clean_answers": f"SELECT doc_id, {strip('text')} AS answer FROM documents",
+    # A stop token that was tried before the one behind it stays: each is tried once, in order.
+    "clean_answers": f"""SELECT doc_id, CASE WHEN doc_id % 6 = 3 THEN ltrim(text, {BLANK_CHARS}) || '<end_of_turn>'
+        ELSE {strip('text')} END AS answer FROM documents""",
     "repr_answers": f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {strip("regexp_replace(text, '[''\"\\n\\r]', ' ', 'g')")}
         ELSE 'GenerationResult: ' || rtrim(text, {BLANK_CHARS}) END AS answer FROM documents""",
     "parse_chat_prompt": f"SELECT conv_id, turn, role, {strip('text')} AS content FROM conversations",
