@@ -18,14 +18,16 @@ BLANKS = (
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = ("a", "an", "the")
 
-# The same blanks as a regular-expression class, with and without the newline.
-BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-BLANK_IN_LINE = r"[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The same blanks as a regular-expression class, with and without the newline. Printable
+# ASCII is ruled out first, which makes the class several times faster.
+BLANK = r"[[^!-~]&&[\s\x1c-\x1f\x85\p{Z}]]"
+BLANK_IN_LINE = r"[[^!-~\n]&&[\s\x1c-\x1f\x85\p{Z}]]"
 
 # A word is letters, digits and underscore. Spelled out, because what Java means by
-# \b differs between releases.
+# \b differs between releases. What comes before an article is looked at last.
 _WORD = r"[\p{L}\p{N}_]"
-_ARTICLE = rf"(?<!{_WORD})(?:{'|'.join(ARTICLES)})(?!{_WORD})"
+_ARTICLE = rf"(?:{'|'.join(ARTICLES)})(?!{_WORD})(?<!{_WORD}(?:{'|'.join(ARTICLES)}))"
+_PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 
 _VELTKAMP = float(2**27 + 1)
 
@@ -41,17 +43,22 @@ def strip(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Split on blanks; an empty text has no tokens."""
-    return F.filter(F.split(strip(c), f"{BLANK}+"), lambda w: w != "")
+    return F.array_remove(F.split(strip(c), f"{BLANK}+"), "")
 
 
 def normalize_answer(c: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces. NULL gives ''."""
-    text = F.translate(F.lower(col_of(c)), PUNCTUATION, "")
+    text = F.regexp_replace(F.lower(col_of(c)), _PUNCTUATION, "")
     text = F.regexp_replace(text, _ARTICLE, " ")
     text = F.btrim(F.regexp_replace(text, f"{BLANK}+", " "))
     return F.coalesce(text, F.lit(""))
 
 
+def normal_words(c: Column | str) -> Column:
+    """The words of a normalised answer."""
+    return F.array_remove(F.split(col_of(c), " "), "")
+
+
 def exact_match(prediction: Column | str, gold: Column | str) -> Column:
     return F.coalesce(col_of(prediction) == col_of(gold), F.lit(False))
 

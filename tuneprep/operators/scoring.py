@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tuneprep.functions.text import (
     exact_match,
+    normal_words,
     normalize_answer,
     round_half_even,
     shared_words,
     substring_match,
-    tokens,
     with_percentages,
 )
 
@@ -51,7 +51,7 @@ def transition(baseline_correct: Column, model_correct: Column) -> Column:
 
 def word_metrics(df: DataFrame, norm_prediction: str, norm_gold: str) -> DataFrame:
     """Add word precision, recall and F1 (multiset overlap), rounded to 4 digits."""
-    df = df.withColumns({"__p": tokens(norm_prediction), "__g": tokens(norm_gold)})
+    df = df.withColumns({"__p": normal_words(norm_prediction), "__g": normal_words(norm_gold)})
     df = df.withColumns(
         {"__np": F.size("__p"), "__ng": F.size("__g"), "__same": shared_words("__p", "__g")}
     ).drop("__p", "__g")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import tokens
+from tuneprep.session import widen
 
 NEXT_LANG = {"de": "en", "en": "es", "es": "fr", "fr": "de"}
 
@@ -34,7 +35,8 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The gold answer is the document's text with single spaces. The run is its source.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", tokens("text").alias("__words"))
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = docs.select("doc_id", "source", tokens("text").alias("__words"))
     df = docs.withColumn("golden", F.array_join("__words", " "))
     return df.select(
         F.col("source").alias("run_id"),

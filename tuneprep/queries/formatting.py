@@ -31,6 +31,7 @@ from tuneprep.plans.convert import preview
 from tuneprep.plans.mapping import ColumnMapping, Format, detect_format, detect_mapping, validate_mapping
 from tuneprep.queries.fixtures import table
 from tuneprep.queries.sql import BLANK_CHARS, normalize, quote, strip
+from tuneprep.session import widen
 from tuneprep.sources.load import Dataset, merge
 
 SYSTEM = "You are a careful assistant."
@@ -186,7 +187,7 @@ def eval_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = widen(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     bench = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
     return docs.unionByName(bench).select("id", normalize_answer("text").alias("answer"))
 
@@ -254,14 +255,14 @@ def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 4, F.concat(text, F.lit("</s><|eot_id|>")))
         .otherwise(text)
     )
-    return table(spark, sf_dir, "documents").select("doc_id", clean_answer(raw).alias("answer"))
+    return widen(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean_answer(raw).alias("answer"))
 
 
 def repr_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(
         F.lit("GenerationResult(text='"), F.regexp_replace("text", "['\"\\n\\r]", " "), F.lit("', token=7, logprobs=array([0.1]))")
     )
-    docs = table(spark, sf_dir, "documents")
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
     raw = F.when(F.col("doc_id") % 2 == 0, shown).otherwise(F.concat(F.lit("GenerationResult: "), F.col("text")))
     return docs.select("doc_id", clean_answer(raw).alias("answer"))
 

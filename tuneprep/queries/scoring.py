@@ -11,6 +11,7 @@ from tuneprep.operators.generate import missing_prompts
 from tuneprep.operators.scoring import (
     answer_classes,
     by_status,
+    class_lists,
     class_summary,
     compare_runs,
     confusion_cells,
@@ -22,7 +23,7 @@ from tuneprep.operators.scoring import (
     score_answers,
 )
 from tuneprep.queries.fixtures import class_pairs, eval_pairs, run_settings, table
-from tuneprep.queries.sql import CELLS, CLASS_SUMMARY, PAIRS, PER_CLASS, SCORED, SUMMARY, WORDS, normalize, percent, strip
+from tuneprep.queries.sql import CELLS, CLASS_PAIRS, CLASS_SUMMARY, PAIRS, PER_CLASS, SCORED, SUMMARY, WORDS, normalize, percent, strip
 
 WORD_METRICS = ["word_precision", "word_recall", "word_f1"]
 
@@ -77,9 +78,13 @@ def confusion_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion_matrix(_cells(spark, sf_dir))
 
 
-def open_ended_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free text has no confusion matrix: the gate on the number of classes gives no rows."""
-    return confusion_cells(answer_classes(eval_pairs(spark, sf_dir))).select("run_id", "actual", "predicted", "n")
+def class_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of every run whose gold answers are labels; free text has none."""
+    labels = answer_classes(class_pairs(spark, sf_dir)).withColumn("task", F.lit("lang"))
+    texts = answer_classes(eval_pairs(spark, sf_dir)).withColumn("task", F.lit("text"))
+    both = labels.unionByName(texts).withColumn("run_id", F.concat_ws("/", "task", "run_id"))
+    runs = both.select("run_id").distinct().join(class_lists(both), "run_id", "left")
+    return runs.select("run_id", F.coalesce(F.size("classes"), F.lit(0)).alias("n_classes"))
 
 
 def per_class_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +138,7 @@ QUERIES = {
     "migration_matrix": migration_matrix_query,
     "eval_summary": _summary,
     "confusion_matrix": confusion_matrix_query,
-    "open_ended_gate": open_ended_gate,
+    "class_gate": class_gate,
     "per_class_f1": per_class_f1,
     "class_summary": class_summary_query,
     "leaderboard_rank": leaderboard_rank,
@@ -160,9 +165,10 @@ SQL = {
             {{'p': 'other', 'o': true}})) AS x FROM (SELECT run_id, classes, unnest(classes) AS actual FROM class_lists))
         SELECT g.run_id, g.actual, x.p AS predicted, x.o AS is_other, coalesce(n, 0) AS n FROM grid g LEFT JOIN cells c
             ON c.run_id = g.run_id AND c.actual = g.actual AND ((x.o AND c.predicted IS NULL) OR (NOT x.o AND c.predicted = x.p))""",
-    "open_ended_gate": f"""WITH {PAIRS}, golds_n AS (SELECT run_id, {normalize('golden')} AS actual FROM pairs)
-        SELECT run_id, actual, actual AS predicted, 0::BIGINT AS n FROM golds_n
-        WHERE run_id IN (SELECT run_id FROM golds_n GROUP BY run_id HAVING count(DISTINCT actual) BETWEEN 2 AND 15)""",
+    "class_gate": f"""WITH {PAIRS}, {CLASS_PAIRS}, golds_n AS (SELECT 'text/' || run_id AS run_id, {normalize('golden')} AS actual FROM pairs
+            UNION ALL SELECT 'lang/' || run_id, golden FROM class_pairs)
+        SELECT run_id, CASE WHEN count(DISTINCT actual) BETWEEN 2 AND 15 THEN count(DISTINCT actual) ELSE 0 END::INT AS n_classes
+        FROM golds_n GROUP BY run_id""",
     "per_class_f1": f"WITH {PER_CLASS} SELECT * FROM per_class",
     "class_summary": f"WITH {CLASS_SUMMARY} SELECT * FROM class_summary",
     "leaderboard_rank": f"""WITH {SUMMARY}, {CLASS_SUMMARY}, board AS (SELECT s.run_id AS run_name,

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job of this library wants. The cluster's own values win when the
 # session already exists; nothing here depends on the number of executors.
@@ -57,3 +57,13 @@ def local_path(uri: str) -> str:
     if uri.startswith("file:"):
         return uri[len("file:"):]
     return uri
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.
+
+    For work that costs much more per row than moving the row, on inputs of few splits. A
+    large input has more splits than cores and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
