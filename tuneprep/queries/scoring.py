@@ -23,6 +23,7 @@ from tuneprep.operators.scoring import (
     score_answers,
 )
 from tuneprep.queries.fixtures import class_pairs, eval_pairs, run_settings, table
+from tuneprep.session import scratch_dir
 from tuneprep.queries.sql import CELLS, CLASS_PAIRS, CLASS_SUMMARY, PAIRS, PER_CLASS, SCORED, SUMMARY, WORDS, normalize, percent, strip
 
 WORD_METRICS = ["word_precision", "word_recall", "word_f1"]
@@ -118,8 +119,10 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_answers(eval_pairs(spark, sf_dir), words=False)
-    return by_status(scored, "FIXED").select("id", "run_id", "status", "golden", "model_output")
+    """Filter the stored results of an evaluation; the filter reaches the scan."""
+    stored = scratch_dir(spark, "scored")
+    score_answers(eval_pairs(spark, sf_dir), words=False).write.parquet(stored)
+    return by_status(spark.read.parquet(stored), "FIXED").select("id", "run_id", "status", "golden", "model_output")
 
 
 def baseline_cache_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
