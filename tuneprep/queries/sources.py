@@ -166,7 +166,8 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark, "converted")
     convert(spark, f"{sf_dir}/documents.parquet", out, Format.CHAT, ColumnMapping(user_col="text", assistant_col="source + lang"), CONFIG, key="doc_id")
     df = load(spark, out).df
-    return df.select(F.to_json("messages").alias("messages"), F.col(SPLIT).alias("split"))
+    messages = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return df.select(F.to_json(messages).alias("messages"), F.col(SPLIT).alias("split"))
 
 
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,23 @@ def _table_split(name: str) -> str:
     return next((w for w in SPLIT_WORDS if w in stem), "default")
 
 
+class _Readable(io.RawIOBase):
+    """A member of a streamed archive as a plain byte stream."""
+
+    def __init__(self, member):
+        self.member = member
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.member.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 def _table_rows(name: str, content) -> Iterator[dict]:
-    text = io.TextIOWrapper(content, encoding="utf-8", errors="replace", newline="")
+    text = io.TextIOWrapper(io.BufferedReader(_Readable(content)), encoding="utf-8", errors="replace", newline="")
     if name.lower().endswith(".jsonl"):
         for line in text:
             try:
