@@ -39,10 +39,19 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col_of(c), F.lit(BLANKS))
 
 
+def _words(spaced: Column) -> Column:
+    """Words of a text in which single spaces are the only blanks."""
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+
+
+def single_spaces(c: Column | str) -> Column:
+    """The text with every run of blanks as one space, and none at the ends."""
+    return F.btrim(F.regexp_replace(F.translate(col_of(c), BLANKS, " " * len(BLANKS)), " {2,}", " "))
+
+
 def tokens(c: Column | str) -> Column:
     """Split on blanks; an empty text has no tokens."""
-    spaced = F.translate(col_of(c), BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.split(spaced, " "), "")
+    return _words(single_spaces(c))
 
 
 def normalize_answer(c: Column | str) -> Column:
@@ -58,7 +67,7 @@ def normalize_answer(c: Column | str) -> Column:
 
 def normal_words(c: Column | str) -> Column:
     """The words of a normalised answer."""
-    return F.array_remove(F.split(col_of(c), " "), "")
+    return _words(col_of(c))
 
 
 def exact_match(prediction: Column | str, gold: Column | str) -> Column:
@@ -87,11 +96,13 @@ def shared_words(left: Column | str, right: Column | str) -> Column:
 
     The words of both sides are sorted together, left before right for equal words, and
     one pass keeps the number of still unmatched left copies of the current word. Linear
-    after the sort, so answers of tens of thousands of words stay cheap.
+    after the sort, so answers of tens of thousands of words stay cheap. Equal sides are
+    not sorted at all.
     """
+    left, right = col_of(left), col_of(right)
 
-    def tagged(words: Column | str, side: int) -> Column:
-        return F.transform(col_of(words), lambda w: F.struct(w.alias("w"), F.lit(side).alias("s")))
+    def tagged(words: Column, side: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(side).alias("s")))
 
     both = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
 
@@ -108,7 +119,7 @@ def shared_words(left: Column | str, right: Column | str) -> Column:
         return F.when(t["s"] == 0, add_left).when(same_word & (acc["open"] > 0), match_right).otherwise(acc)
 
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("open"), F.lit(0).alias("shared"))
-    return F.aggregate(both, start, step)["shared"]
+    return F.when(left == right, F.size(left)).otherwise(F.aggregate(both, start, step)["shared"])
 
 
 def round_half_even(x: Column | str, digits: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.functions.text import tokens
+from tuneprep.functions.text import normal_words, single_spaces
 from tuneprep.session import widen
 
 NEXT_LANG = {"de": "en", "en": "es", "es": "fr", "fr": "de"}
@@ -36,8 +36,8 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The gold answer is the document's text with single spaces. The run is its source.
     """
     docs = widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    docs = docs.select("doc_id", "source", tokens("text").alias("__words"))
-    df = docs.withColumn("golden", F.array_join("__words", " "))
+    df = docs.select("doc_id", "source", single_spaces("text").alias("golden"))
+    df = df.withColumn("__words", normal_words("golden"))
     return df.select(
         F.col("source").alias("run_id"),
         F.col("doc_id").alias("id"),

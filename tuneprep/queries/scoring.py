@@ -23,8 +23,9 @@ from tuneprep.operators.scoring import (
     score_answers,
 )
 from tuneprep.queries.fixtures import class_pairs, eval_pairs, run_settings, table
-from tuneprep.session import scratch_dir
 from tuneprep.queries.sql import CELLS, CLASS_PAIRS, CLASS_SUMMARY, PAIRS, PER_CLASS, SCORED, SUMMARY, WORDS, normalize, percent, strip
+from tuneprep.session import scratch_dir
+from tuneprep.sinks.evals import append_leaderboard, read_leaderboard
 
 WORD_METRICS = ["word_precision", "word_recall", "word_f1"]
 
@@ -101,9 +102,12 @@ def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaderboard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results put on the leaderboard and ranked by word F1."""
     columns = ["rank", "run_name", "iters", "learning_rate", "exact_match_pct", "substring_match_pct", "avg_word_f1"]
     columns += ["categorical_accuracy_pct", "macro_f1_pct", "fixed_count", "regressed_count", "total_samples", "tokens_per_sec"]
-    return ranked(_board(spark, sf_dir), "avg_word_f1").select(*columns)
+    stored = scratch_dir(spark, "board")
+    append_leaderboard(_board(spark, sf_dir), stored)
+    return ranked(read_leaderboard(spark, stored), "avg_word_f1").select(*columns)
 
 
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:

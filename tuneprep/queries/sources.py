@@ -18,7 +18,7 @@ from tuneprep.queries import files
 from tuneprep.queries.fixtures import eval_pairs, log_lines, run_settings, table
 from tuneprep.queries.formatting import CONFIG, _SPLIT_DOCS
 from tuneprep.queries.sql import LOG_LINES, SUMMARY, strip
-from tuneprep.session import scratch_dir
+from tuneprep.session import scratch_dir, widen
 from tuneprep.sinks.evals import append_leaderboard, export_leaderboard, read_leaderboard
 from tuneprep.sinks.records import read_manifest
 from tuneprep.sources.arrow_ipc import read_arrow
@@ -36,7 +36,8 @@ LABEL_TABLES = {0: "train", 1: "valid", 2: "test"}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The documents in as many pieces as there are cores, so that many files are written."""
+    return widen(table(spark, sf_dir, "documents"))
 
 
 def _folder(spark: SparkSession, name: str) -> str:

@@ -16,6 +16,9 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles a method beyond 8000 bytes. Past that, code per operator,
+    # which comes in small methods, is several times faster than one large method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
