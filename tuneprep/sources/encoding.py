@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import codecs
 import io
+import posixpath
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tuneprep.sources.files import filesystem, head, utf_of
@@ -19,18 +22,6 @@ from tuneprep.sources.files import filesystem, head, utf_of
 EIGHT_BIT = ("cp1252", "latin-1", "iso-8859-15", "mac_roman")
 CONTROL_LOOKAHEAD = 4096
 
-# What Java calls these encodings.
-JAVA_NAMES = {
-    "utf-8-sig": "UTF-8",
-    "utf-16-le": "UTF-16LE",
-    "utf-16-be": "UTF-16BE",
-    "utf-32-le": "UTF-32LE",
-    "utf-32-be": "UTF-32BE",
-    "cp1252": "windows-1252",
-    "latin-1": "ISO-8859-1",
-    "mac_roman": "x-MacRoman",
-}
-
 CHUNK = 1 << 20
 LINES_PER_BATCH = 20_000
 SCHEMA = "path string, encoding string, line_no long, line string"
@@ -65,10 +56,10 @@ def detect_encoding(path: str) -> str:
     return "utf-8"
 
 
-def open_text(path: str, encoding: str | None = None) -> io.TextIOWrapper:
+def open_text(path: str, encoding: str | None = None, newline: str | None = None) -> io.TextIOWrapper:
     fs, inner = filesystem(path)
     raw = io.BufferedReader(fs.open_input_stream(inner), CHUNK)
-    return io.TextIOWrapper(raw, encoding=encoding or detect_encoding(path), errors="replace")
+    return io.TextIOWrapper(raw, encoding=encoding or detect_encoding(path), errors="replace", newline=newline)
 
 
 def decoded_lines(path: str) -> Iterator[tuple[str, int, str]]:
@@ -78,15 +69,30 @@ def decoded_lines(path: str) -> Iterator[tuple[str, int, str]]:
             yield encoding, number, line.rstrip("\n")
 
 
-def detect_encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, encoding), one row per file."""
+def utf8_copies(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
+    """(path, copy): every file as UTF-8 in ``folder``, one task per file.
+
+    The copies keep the file's line structure, so all readers work on them, in parallel
+    where they can split a file. A copy gets its name when it is complete.
+    """
 
-    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def transcode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, inner = filesystem(folder)
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "encoding": [detect_encoding(p) for p in batch["path"]]})
+            copies = []
+            for path in batch["path"]:
+                name = f"{zlib.crc32(path.encode()):08x}-{posixpath.basename(path)}"
+                unfinished = f"{inner}/.{name}.{TaskContext.get().taskAttemptId()}"
+                target.create_dir(inner, recursive=True)
+                with open_text(path, newline="") as text, target.open_output_stream(unfinished) as out:
+                    while part := text.read(CHUNK):
+                        out.write(part.encode("utf-8", errors="replace"))
+                target.move(unfinished, f"{inner}/{name}")
+                copies.append(f"{folder}/{name}")
+            yield pd.DataFrame({"path": batch["path"], "copy": copies})
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return files.mapInPandas(detect, "path string, encoding string")
+    return files.mapInPandas(transcode, "path string, copy string")
 
 
 def read_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tuneprep.operators.splitting import SPLIT
 from tuneprep.session import scratch_dir
 from tuneprep.sources.arrow_ipc import read_arrow
-from tuneprep.sources.encoding import JAVA_NAMES, detect_encodings, read_any_encoding
+from tuneprep.sources.encoding import utf8_copies
 from tuneprep.sources.files import (
     PARQUET_FOLDERS,
     SPLIT_FILES,
@@ -34,7 +34,7 @@ from tuneprep.sources.files import (
 from tuneprep.sources.jsonl import read_json_array, read_jsonl
 from tuneprep.sources.sqlite import read_sqlite
 from tuneprep.sources.tar import read_tar
-from tuneprep.sources.text import delimited_or_plain, read_text_files, stripped_lines
+from tuneprep.sources.text import read_text_files
 
 DEFAULT = "default"
 
@@ -56,16 +56,13 @@ class Dataset:
         return [c for c in self.df.columns if c != SPLIT]
 
 
-def read_csv(
-    spark: SparkSession, paths: Sequence[str], separator: str = ",", multiline: bool = True, charset: str = "UTF-8"
-) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], separator: str = ",", multiline: bool = True) -> DataFrame:
     """Delimited text with a header, every column a string.
 
     Quoted newlines need ``multiline``, which reads a file in one task; turn it off for
     large files without them.
     """
-    options = {"header": True, "inferSchema": False, "multiLine": multiline, "escape": '"', "encoding": charset}
-    return spark.read.options(**options).csv(list(paths), sep=separator)
+    return spark.read.csv(list(paths), header=True, sep=separator, inferSchema=False, multiLine=multiline, escape='"')
 
 
 def read_parquet_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -84,18 +81,12 @@ def holds_parquet(path: str) -> bool:
     return any(named_parquet(f) for f in files)
 
 
-def _decoded(spark: SparkSession, path: str) -> DataFrame:
-    """The decoded lines of a file, kept in the shared scratch folder."""
-    copy = scratch_dir(spark, "decoded")
-    read_any_encoding(spark, [path]).write.parquet(copy)
-    return spark.read.parquet(copy)
-
-
 def load_file(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
     """One file (or ``file.db::table``) as rows, with ``_split`` where the file has splits.
 
     ``encoding`` is ``utf-8``, ``detect``, or ``auto``: detect where the head of the file
-    is marked as or looks like UTF-16/32. UTF-8 files are read in parallel pieces.
+    is marked as or looks like UTF-16/32. UTF-8 files are read in parallel pieces; others
+    are copied to UTF-8 in the shared scratch folder first.
     """
     file, table = split_table(path)
     first = file
@@ -114,21 +105,17 @@ def load_file(spark: SparkSession, path: str, encoding: str = "auto") -> DataFra
         return read_tar(spark, [file])
     if kind == "json" and is_json_array(first):
         return read_json_array(spark, [file])
-    detect = encoding == "detect" or (encoding == "auto" and utf_of(head(first)) not in (None, "utf-8-sig"))
-    if kind in ("csv", "tsv"):
-        charset = detect_encodings(spark, [file]).first()["encoding"] if detect else "utf-8"
-        return read_csv(spark, [file], "," if kind == "csv" else "\t", charset=JAVA_NAMES.get(charset, charset))
+    if encoding == "detect" or (encoding == "auto" and utf_of(head(first)) not in (None, "utf-8-sig")):
+        sources = listing(file)[0] if first != file else [file]
+        copies = scratch_dir(spark, "utf8")
+        utf8_copies(spark, sources, copies).write.format("noop").mode("overwrite").save()
+        file = copies
+    if kind == "csv":
+        return read_csv(spark, [file])
+    if kind == "tsv":
+        return read_csv(spark, [file], separator="\t")
     if kind == "text":
-        if not detect:
-            return read_text_files(spark, [file])
-        lines = _decoded(spark, file).select(
-            F.col("path").alias("file"), F.lit(0).alias("block"), F.col("line_no").alias("at"), "line"
-        )
-        return delimited_or_plain(stripped_lines(lines))
-    if detect:
-        copy = scratch_dir(spark, "decoded-lines")
-        _decoded(spark, file).select("line").write.text(copy)
-        file = copy
+        return read_text_files(spark, [file])
     return read_jsonl(spark, [file])
 
 

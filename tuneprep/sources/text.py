@@ -110,10 +110,6 @@ def read_text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     files that are all plain give the single column ``text``.
     """
     lines = stripped_lines(read_lines(spark, paths))
-    return delimited_or_plain(lines)
-
-
-def delimited_or_plain(lines: DataFrame) -> DataFrame:
     delimiters = detect_delimiters(lines)
     if delimiters.isEmpty():
         return lines.select(F.col("line").alias("text"))
