@@ -176,3 +176,8 @@ def test_baseline_cache(spark, tmp_path):
     other = baseline_answers(spark, samples, "n", cache, lambda: lambda ps: ["three"] * len(ps))
     assert {r["output"] for r in other.collect()} == {"three"}
     assert spark.read.parquet(cache).count() == 4
+
+
+def test_many_spellings_of_few_labels(spark):
+    df = spark.range(2000).select(F.concat(F.repeat(F.lit(" "), (F.col("id") % 700).cast("int")), (F.col("id") % 3).cast("string")).alias("s"))
+    assert discrete_labels(df, "s").values == ["0", "1", "2"]

@@ -25,7 +25,9 @@ MILESTONE = "val loss"
 
 
 def _number(line: Column, pattern: str, kind: str = "double") -> Column:
-    return F.regexp_extract(line, pattern, 1).try_cast(kind)
+    """The first number the pattern finds. No match is NULL before the cast: casting the
+    empty text that ``regexp_extract`` gives costs an exception per row."""
+    return F.get(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), 0).try_cast(kind)
 
 
 def log_step(line: Column | str) -> Column:

@@ -32,21 +32,30 @@ LABEL_TRAIN = "Adapter with minimal training loss (step %d, train loss %.4f)"
 
 
 def parse_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Progress lines with their step and metrics; other lines are dropped."""
+    """Progress lines with their step and metrics; other lines are dropped.
+
+    The parsed line is kept or dropped inside a generator: a filter on the metrics would be
+    pushed down and make Spark parse every line twice.
+    """
     metrics = line_metrics(line)
-    parsed = lines.withColumns({"step": log_step(line), **metrics})
-    return parsed.where(F.col("step").isNotNull() & F.coalesce(*metrics).isNotNull())
+    parsed = F.struct(log_step(line).alias("step"), *[c.alias(n) for n, c in metrics.items()])
+    progress = F.filter(
+        F.array(parsed), lambda p: p["step"].isNotNull() & F.coalesce(*[p[n] for n in metrics]).isNotNull()
+    )
+    return lines.select("*", F.inline(progress))
 
 
 def loss_series(lines: DataFrame, line: str = "line", order: str = "line_no", run: str = "run_id") -> DataFrame:
     """(run, step, metric, value), one value per step: the last line wins."""
+    step = log_step(line)
     losses = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in loose_losses(line).items()]),
-        lambda m: m["value"].isNotNull(),
+        F.array(
+            *[F.struct(step.alias("step"), F.lit(n).alias("metric"), c.alias("value")) for n, c in loose_losses(line).items()]
+        ),
+        lambda m: m["step"].isNotNull() & m["value"].isNotNull(),
     )
-    found = lines.select(run, order, log_step(line).alias("step"), F.explode(losses).alias("m"))
-    found = found.where(F.col("step").isNotNull())
-    return found.groupBy(run, "step", F.col("m.metric").alias("metric")).agg(F.max_by("m.value", order).alias("value"))
+    found = lines.select(run, order, F.inline(losses))
+    return found.groupBy(run, "step", "metric").agg(F.max_by("value", order).alias("value"))
 
 
 def curve(losses: DataFrame, metric: str, name: str, run: str = "run_id") -> DataFrame:

@@ -19,6 +19,11 @@ TRACE_FIELDS = ("reasoning_content", "reasoning")
 TARGET_COLUMNS = ("completion", "chosen", "text")
 
 
+LABEL_TYPE = "struct<column:string,value:string,is_integer:boolean,number:decimal(38,0)>"
+# A sketch has to exceed the limit this many times over to rule a column out.
+SKETCH_MARGIN = 6
+
+
 def _label(df: DataFrame, name: str) -> Column:
     """(value, is_integer): integers, booleans, whole floats and digit strings are integers."""
     kind = df.schema[name].dataType
@@ -46,10 +51,14 @@ def _label(df: DataFrame, name: str) -> Column:
 def label_values(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS) -> DataFrame:
     """(column, values, is_integer) of the columns with 2..max_labels different values.
 
-    All columns are looked at in one pass over all rows. Equal values are reduced before
-    the exchange, and at most max_labels + 1 values per column go on from there.
+    All rows count. A sketch of the number of values leaves out the columns that exceed the
+    limit several times over, so that free text is never shuffled. The values of the others
+    are counted exactly, in one pass, with at most max_labels + 1 per column.
     """
-    labels = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), _label(df, c)) for c in columns])
+    sketches = [F.approx_count_distinct(_label(df, c)["value"]).alias(c) for c in columns]
+    seen = df.select([F.col(f"`{c}`") for c in columns]).agg(*sketches).first()
+    few = [c for c in columns if seen[c] <= SKETCH_MARGIN * max_labels]
+    labels = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), _label(df, c)) for c in few] or [F.lit(None).cast(LABEL_TYPE)])
     found = df.select(F.explode(labels).alias("l")).where(F.col("l").isNotNull()).select("l.*").distinct()
     order = [F.col("number").asc_nulls_last(), F.col("value")]
     rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
@@ -116,9 +125,9 @@ def reasoning_summary(df: DataFrame, by: Sequence[str] = ("_split",)) -> DataFra
 def key_sets(lines: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
     """Counts of the sorted key sets of JSON objects; other lines are dropped."""
     keys = F.array_join(F.array_sort(F.array_distinct(F.json_object_keys(value))), ",")
-    return lines.select(*by, keys.alias("keys")).where(F.col("keys").isNotNull()).groupBy(*by, "keys").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    # Kept or dropped in a generator, so that a line is parsed once; see parse_log_lines.
+    objects = lines.select(*by, F.explode(F.array_compact(F.array(keys))).alias("keys"))
+    return objects.groupBy(*by, "keys").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def training_compat(sets: DataFrame, by: Sequence[str] = (), multimodal: bool = True) -> DataFrame:

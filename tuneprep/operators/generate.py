@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.functions.answers import clean_answer, word_count_tokens
 from tuneprep.functions.text import round_half_even
+from tuneprep.session import widen
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -43,7 +44,7 @@ def generate_answers(
                 share = (time.perf_counter() - began) / len(part)
                 yield part[keys].assign(output=outputs, seconds=share)
 
-    raw = prompts.select(*keys, prompt).mapInPandas(answer, schema)
+    raw = widen(prompts.select(*keys, prompt)).mapInPandas(answer, schema)
     cleaned = raw.withColumn("output", clean_answer("output"))
     return cleaned.withColumn("n_tokens", word_count_tokens("output")).select(*keys, "output", "n_tokens", "seconds")
 

@@ -23,6 +23,8 @@ from tuneprep.functions.text import (
 
 STATUSES = ("PRESERVED", "FIXED", "REGRESSED", "PERSISTENT_FAIL")
 MAX_CLASSES = 15
+# A sketch has to exceed the limit this many times over to rule a run out.
+SKETCH_MARGIN = 6
 OTHER = "other"
 
 
@@ -145,17 +147,25 @@ def migration_matrix(scored: DataFrame, by: Sequence[str] = ("run_id",)) -> Data
 
 
 def answer_classes(
-    pairs: DataFrame, by: str = "run_id", gold: str = "golden", prediction: str = "model_output", key: str = "id"
+    pairs: DataFrame,
+    by: str = "run_id",
+    gold: str = "golden",
+    prediction: str = "model_output",
+    key: str = "id",
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
-    """Counts of distinct (gold, prediction) after normalisation.
+    """Counts of distinct (gold, prediction) after normalisation, for runs that may have classes.
 
     Everything about classes depends on these counts only; a class task has few of them.
+    Runs of free text, whose answers would all have to be shuffled to be counted, are left
+    out first by a sketch of their number of gold answers. It has to exceed the limit
+    several times over for that, so no class task is lost; ``class_lists`` decides exactly.
     """
-    norm = pairs.select(
-        by,
-        F.col(key).alias("__id"),
-        normalize_answer(gold).alias("actual"),
-        normalize_answer(prediction).alias("answer"),
+    actual = normalize_answer(gold).alias("actual")
+    sketch = pairs.select(by, actual).groupBy(by).agg(F.approx_count_distinct("actual").alias("k"))
+    few = sketch.where(F.col("k") <= SKETCH_MARGIN * max_classes).select(by)
+    norm = pairs.join(few, by, "left_semi").select(
+        by, F.col(key).alias("__id"), actual, normalize_answer(prediction).alias("answer")
     )
     return norm.groupBy(by, "actual", "answer").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
 

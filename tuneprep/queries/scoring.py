@@ -82,10 +82,10 @@ def confusion_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of every run whose gold answers are labels; free text has none."""
-    labels = answer_classes(class_pairs(spark, sf_dir)).withColumn("task", F.lit("lang"))
-    texts = answer_classes(eval_pairs(spark, sf_dir)).withColumn("task", F.lit("text"))
-    both = labels.unionByName(texts).withColumn("run_id", F.concat_ws("/", "task", "run_id"))
-    runs = both.select("run_id").distinct().join(class_lists(both), "run_id", "left")
+    labels = class_pairs(spark, sf_dir).withColumn("run_id", F.concat(F.lit("lang/"), "run_id"))
+    texts = eval_pairs(spark, sf_dir).withColumn("run_id", F.concat(F.lit("text/"), "run_id")).select(labels.columns)
+    both = labels.unionByName(texts)
+    runs = both.select("run_id").distinct().join(class_lists(answer_classes(both)), "run_id", "left")
     return runs.select("run_id", F.coalesce(F.size("classes"), F.lit(0)).alias("n_classes"))
 
 

@@ -39,12 +39,16 @@ def parse_objects(
     another type is reported too; ``lenient`` keeps such a row, with NULL in the field.
     """
     wanted = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    objects = lines.where(looks_like_object("value"))
-    parsed = objects.withColumn("r", F.from_json("value", wanted, STRICT))
-    whole = F.col(f"r.{CORRUPT}").isNull()
-    if lenient:
-        whole = whole | F.get_json_object("value", "$").isNotNull()
-    return parsed.where(whole).select(*[f"r.`{name}`" for name in schema.names if name not in keep], *keep)
+    record = F.from_json("value", wanted, STRICT)
+
+    def whole(r: Column) -> Column:
+        sound = r[CORRUPT].isNull()
+        return sound | F.get_json_object("value", "$").isNotNull() if lenient else sound
+
+    # Kept or dropped in a generator: a filter would be pushed down and parse the line twice.
+    records = F.explode(F.filter(F.array(record), whole)).alias("r")
+    parsed = lines.where(looks_like_object("value")).select(*keep, records)
+    return parsed.select(*[f"r.`{name}`" for name in schema.names if name not in keep], *keep)
 
 
 def read_jsonl(
