@@ -32,7 +32,7 @@ SUFFIX_KINDS = {
 }
 MAGIC_KINDS = {b"PAR1": "parquet", b"ARROW1": "arrow", b"SQLite format 3\x00": "sqlite"}
 UNREADABLE = {".duckdb": "DuckDB", ".ddb": "DuckDB", ".lance": "Lance"}
-WEIGHTS = (".safetensors", ".bin", ".mlx", ".pt")
+WEIGHTS = (".safetensors", ".bin", ".pt")
 SPLIT_FILES = ("train", "valid", "validation", "val", "test", "dev")
 SPLIT_SUFFIXES = (
     ".jsonl .parquet .pq .parq .arrow .json .csv .tsv .tab .txt .text .sqlite .db .sqlite3 .tar .tar.gz .tgz"
