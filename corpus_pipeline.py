@@ -6,20 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tuneprep.llm import langid
+from tuneprep.llm.decontaminate import drop_leaks
 from tuneprep.llm.minhash import drop_near_duplicates
+from tuneprep.llm.mixing import mixed_documents
+from tuneprep.llm.sharding import SHARDS, shard_rows
 from tuneprep.llm.stage import written
 from tuneprep.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows stay."""
+    ship_package(spark)
+    return langid.keep_identified(docs, langid.train(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked at 80 % on runs of five words."""
     ship_package(spark)
     return drop_near_duplicates(docs, size=5, percent=80)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark`` stay."""
+    ship_package(spark)
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot there."""
+    return shard_rows(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
+]
 #: Signatures, trained weights and seeded samples are beyond SQL; the tests use brute force.
 ORACLE_SQL: str | None = None
 
