@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.llm.samples import remainder, stratified
+from tuneprep.llm.stage import written
 from tuneprep.llm.transducer import INSULT, NEGATION, OTHER, REPORT, TARGET, THREAT, Transducer, grammar
 
 #: Closed classes of words.
@@ -37,6 +38,8 @@ QUOTA = 6000
 #: Remainder of crc32(doc_id) modulo FOLDS that is held out.
 FOLDS, HELD_OUT = 3, 1
 LEAST_STEM, LONGEST_STEM = 4, 10
+#: Nats of evidence for a stem beyond the logarithm of the number of stems.
+CHANCE = 4.0
 TOXIC_FROM = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -46,7 +49,10 @@ _CLAUSE_END = re.compile(f"[{_CLAUSE_ENDS}]")
 
 @dataclass
 class ToxicityModel:
-    """Stems with their worth, and the logistic map of a document's sum."""
+    """Stems with their worth, and the logistic map of a document's sum.
+
+    ``abc*`` is the beginning of a longer word, ``abc`` a whole word.
+    """
 
     stems: dict[str, float]
     slope: float = 12.0
@@ -61,7 +67,7 @@ class ToxicityModel:
     def _find(self):
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
-            for stem in [*self.stems, *THREATS]:
+            for stem in {*(s.rstrip("*") for s in self.stems), *THREATS}:
                 self._automaton.add_word(stem, len(stem))
             if len(self._automaton):
                 self._automaton.make_automaton()
@@ -86,10 +92,11 @@ class ToxicityModel:
     def _worth(self, text: str, start: int, end: int, hits: list[tuple[int, int]]) -> float:
         symbols, values, marked = [], [], {}
         for a, n in hits:
-            found = text[a : a + n]
-            if found in self.stems:
-                marked[a] = max(marked.get(a, (INSULT, 0.0)), (INSULT, self.stems[found]), key=lambda x: x[1])
-            elif not text[a + n : a + n + 1].isalpha():
+            found, more = text[a : a + n], text[a + n : a + n + 1].isalpha()
+            worth = self.stems.get(f"{found}*" if more else found)
+            if worth is not None:
+                marked[a] = max(marked.get(a, (INSULT, 0.0)), (INSULT, worth), key=lambda x: x[1])
+            elif found in THREATS and not more:
                 marked[a] = (THREAT, THREAT_WORTH)
         for word in _WORD.finditer(text, start, end):
             symbol, value = marked.get(word.start(), (self._classes.get(word[0], OTHER), 0.0))
@@ -105,8 +112,8 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-(self.bias + self.slope * strength)))
 
 
-def _stems_of(text: str) -> set[str]:
-    return {w[:k] for w in set(_WORD.findall(text.lower())) for k in range(LEAST_STEM, min(len(w), LONGEST_STEM) + 1)}
+def _stems_of(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}*" for k in range(LEAST_STEM, min(len(word) - 1, LONGEST_STEM) + 1))] if len(word) >= LEAST_STEM else []
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +121,8 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(_stems_of(text))
-        # A stem of harmless texts alone teaches nothing about insults.
-        stems = list(counts[1]) + [s for s, n in counts[0].items() if s not in counts[1] and n > 0]
+            counts[toxic].update({s for w in set(_WORD.findall(text.lower())) for s in _stems_of(w)})
+        stems = list(counts[1].keys() | counts[0].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(stems, pa.string()), pa.array([counts[1][s] for s in stems], pa.int64()), pa.array([counts[0][s] for s in stems], pa.int64())],
             names=["stem", "toxic", "harmless"],
@@ -132,9 +138,9 @@ def _contexts_of(stems: frozenset[str]):
             for text in batch.column("text").to_pylist():
                 words = _WORD.findall(text.lower())
                 for k, word in enumerate(words):
-                    for n in range(LEAST_STEM, min(len(word), LONGEST_STEM) + 1):
-                        if word[:n] in stems:
-                            found.add((word[:n], f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}"))
+                    for stem in _stems_of(word):
+                        if stem in stems:
+                            found.add((stem, f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["stem", "context"]
             )
@@ -145,8 +151,8 @@ def _contexts_of(stems: frozenset[str]):
 def train(docs: DataFrame, labels: DataFrame, quota: int = QUOTA) -> ToxicityModel:
     """Stems of insults and their weights, from about ``quota`` labelled documents of each class.
 
-    A stem must be far more frequent in toxic texts, and stand in many contexts: the words of a
-    text that was copied often stand in one. Held-out documents are not read; of labels that
+    A stem must be more frequent in toxic texts than chance explains, and stand in many
+    contexts: the words of a text that was copied often stand in one. Held-out documents are not read; of labels that
     contradict each other for one document, toxic counts. Without toxic labels there are no stems.
     """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
@@ -158,41 +164,51 @@ def train(docs: DataFrame, labels: DataFrame, quota: int = QUOTA) -> ToxicityMod
     toxic, harmless = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return ToxicityModel({})
-    support = max(2, toxic // 200)
     odds = F.log(((F.col("toxic") + 0.5) / (toxic + 1.0)) / ((F.col("harmless") + 0.5) / (harmless + 1.0)))
     counted = texts.mapInArrow(_count_stems, "stem string, toxic long, harmless long").groupBy("stem")
-    counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
-    # A stem is in at least this many of a bounded number of texts, so few stems are left.
-    candidates = counted.where((F.col("toxic") >= support) & (F.col("toxic") >= 20 * F.col("harmless"))).withColumn("odds", odds)
-    found = {r["stem"]: (r["toxic"], r["odds"]) for r in candidates.where("odds > 2").collect()}
+    counted = written(counted.agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless")), "stems")
+    # Among so many stems some are in toxic texts alone by chance; those are unlikely to pass.
+    needed = math.log(max(1, counted.count())) + CHANCE
+    share = toxic / (toxic + harmless) if harmless else 0.5
+    candidates = counted.where((F.col("toxic") >= 4 * F.col("harmless")) & (F.col("toxic") * -math.log(share) >= needed)).withColumn("odds", odds)
+    found = {r["stem"]: (r["toxic"], r["harmless"], r["odds"]) for r in candidates.where("odds > 1").collect()}
     if not found:
         return ToxicityModel({})
     pairs = texts.where("toxic = 1").mapInArrow(_contexts_of(frozenset(found)), "stem string, context string")
     contexts = {r["stem"]: r["n"] for r in pairs.groupBy("stem").agg(F.countDistinct("context").alias("n")).collect()}
-    found = {s: (n, w) for s, (n, w) in found.items() if contexts.get(s, 0) >= max(2, n // 2)}
-    model = ToxicityModel(_shortest(found))
+    telling = {}
+    for stem, (a, b, worth) in found.items():
+        evidence = _surprise(min(a, contexts[stem]), b, share)
+        if 2 * contexts[stem] >= a and evidence >= needed:
+            telling[stem] = (evidence, worth)
+    model = ToxicityModel(_telling(telling))
     rows = texts.select("text", "toxic").mapInArrow(_strengths(model), "toxic int, strength double").groupBy("toxic", F.round("strength", 3).alias("strength"))
     rows = rows.agg(F.count(F.lit(1)).alias("n")).collect()
     model.bias, model.slope = _logistic([(r["strength"], r["toxic"], r["n"]) for r in rows])
     return model
 
 
-def _shortest(found: dict[str, tuple[int, float]]) -> dict[str, float]:
-    """Of stems that begin alike, the shortest; lengthened while that loses no document."""
-    stems = {}
-    for stem in sorted(found, key=len):
-        if any(stem[:k] in found for k in range(LEAST_STEM, len(stem))):
-            continue
-        longest = stem
-        while True:
-            longer = [s for s in found if len(s) == len(longest) + 1 and s.startswith(longest) and found[s][0] == found[stem][0]]
-            if not longer:
-                break
-            longest = longer[0]
-        stems[longest] = float(found[stem][1])
+def _surprise(toxic: int, harmless: int, share: float) -> float:
+    """Nats by which that many toxic texts among all with a stem exceed what ``share`` lets expect."""
+    n = toxic + harmless
+    out = toxic * math.log(toxic / (n * share))
+    return out + harmless * math.log(harmless / (n * (1 - share))) if harmless else out
+
+
+def _telling(found: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Of stems that contain each other the one with the most evidence; of equals the whole word, then the longer."""
+    stems: dict[str, float] = {}
+    for stem in sorted(found, key=lambda s: (-found[s][0], s.endswith("*"), -len(s), s)):
+        if not any(_nested(stem, other) for other in stems):
+            stems[stem] = found[stem][1]
     return stems
 
 
+def _nested(a: str, b: str) -> bool:
+    """Some word has both stems."""
+    return any(x.endswith("*") and y.startswith(x[:-1]) and y != x[:-1] for x, y in ((a, b), (b, a)))
+
+
 def _strengths(model: ToxicityModel):
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
