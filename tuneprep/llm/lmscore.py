@@ -2,9 +2,10 @@
 
 The vocabulary and the order of its scores are those of an existing tokenizer model. Its
 scores are ranks, so a piece starts with a probability in inverse proportion to its rank; two
-rounds of expected counts over the words of the corpus adapt these probabilities. A word is
-then either a word of the corpus, with the probability of its count, or spelled by pieces,
-with the probability that a new word follows (Witten and Bell): one more edge in its lattice.
+rounds of expected counts over the distinct words of the corpus adapt these probabilities. A
+word is then either a word of the corpus, with the probability of its count, or spelled by
+pieces, with the probability that a new word follows (Witten and Bell): one more edge in its
+lattice.
 
 Words are counted once over the corpus. Those that are frequent enough to be at most
 ``FREQUENT`` reach every task; the others are joined to the documents that have them.
@@ -35,7 +36,7 @@ FOLDS, HELD_OUT = 5, 1
 #: The end of a text; no word has a blank.
 END = b" "
 #: Tokens that the tokenizer's own scores count for beside the corpus.
-PRIOR = 1000.0
+PRIOR = 100.0
 
 
 def load_vocabulary(path: str) -> Lattice:
@@ -88,7 +89,7 @@ def _expect(lattice: Lattice):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.pieces))
         for batch in batches:
-            total += lattice.expected(batch.column("token").to_pylist(), batch.column("train").to_numpy().astype(float))
+            total += lattice.expected(batch.column("token").to_pylist(), np.ones(batch.num_rows))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "times"])
 
@@ -140,11 +141,14 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def fit(vocabulary: DataFrame, lattice: Lattice, rounds: int = 2) -> LanguageModel:
-    """Probabilities of the pieces adapted to the training counts."""
+    """Probabilities of the pieces adapted to the words of the training text, each counted once.
+
+    Pieces spell words that are new, and those are more like the rare words than the frequent.
+    """
     own = vocabulary.where("train > 0")
     n, v = own.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.lit(1))).first()
     prior = np.exp(lattice.log_p)
-    words = own.where(F.col("token") != F.lit(END)).select("token", "train")
+    words = own.where(F.col("token") != F.lit(END)).select("token")
     for _ in range(rounds if v else 0):
         # One row for each piece at most.
         rows = words.mapInArrow(_expect(lattice), "piece int, times double").groupBy("piece").agg(F.sum("times").alias("times")).collect()
