@@ -163,13 +163,14 @@ SHARDS = 24
 #: DuckDB has no CRC-32, so this folds the bytes of each text over the table of the polynomial.
 SQL = f"""
 WITH polynomial AS (
-  SELECT list(list_reduce([n] || range(8), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
   FROM (SELECT unnest(range(256)) AS n)),
+bytes AS (
+  SELECT text, [4294967295] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b
+  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
 sums AS (
-  SELECT text, xor(4294967295, list_reduce([4294967295] || list_transform(range(octet_length(encode(text))),
-           k -> CAST('0x' || substr(hex(encode(text)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT)),
-           (c, b) -> xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS text_crc32
-  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), polynomial),
+  SELECT text, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1]))) AS text_crc32
+  FROM bytes, polynomial),
 keyed AS (
   SELECT doc_id, text, coalesce(octet_length(encode(text)), 0) + {ROW_BYTES} AS size,
          CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT) AS grp,
