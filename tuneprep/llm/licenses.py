@@ -81,17 +81,15 @@ class TemplateIndex:
         """
         if not text:
             return []
-        found, at, lines, touched = [], 0, [], False
+        found, at, lines = [], 0, []
         for line in text.split("\n"):
             own = bigrams(line)
             lines.append((at, own))
-            if own & self.known:
-                touched = True
-                best = self.best(own)
-                if best:
-                    found.append((best[1], best[0], at, at + len(line)))
+            best = self.best(own)
+            if best:
+                found.append((best[1], best[0], at, at + len(line)))
             at += len(line) + 1
-        if touched and len(lines) > 1:
+        if len(lines) > 1:
             edges = [0, *(x for m in _BLANK_LINES.finditer(text) for x in m.span()), len(text)]
             segments = {(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)} | {(0, len(text))}
             for a, b in sorted(segments):
