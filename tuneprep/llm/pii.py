@@ -147,7 +147,7 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
     """Rows (``term``, ``disclosure``): terms that reveal an entity of the corpus.
 
     Counts are over all rows of ``docs`` with a text. A text that recurs adds to the counts
-    but not to the contexts, of which a term needs half as many as documents.
+    but not to the contexts, of which a term needs three for four documents.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and text != ''")
     mentions = written(texts.mapInArrow(_mentions, "entity long, doc long, term string, context long"), "mentions")
@@ -155,7 +155,7 @@ def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int
     near = mentions.join(entities, "entity")
     docs_of = near.select("entity", "term", "doc", "n_entity").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"))
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    enough = (F.col("contexts") >= support) & (2 * F.col("contexts") >= F.col("n_both")) & (F.col("n_both") >= support)
+    enough = (F.col("contexts") >= support) & (4 * F.col("contexts") >= 3 * F.col("n_both")) & (F.col("n_both") >= support)
     pairs = written(docs_of.join(contexts, ["entity", "term"]).where(enough), "pairs")
     terms = pairs.select("term").distinct()
     count = terms.count()
