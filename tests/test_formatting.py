@@ -157,9 +157,9 @@ def test_detection(columns, fmt, fields):
 def test_validation_lists_everything():
     mapping = ColumnMapping(prompt_col="a + z", completion_col="y")
     assert len(validate_mapping(Format.PROMPT_COMPLETION, mapping, ["a"])) == 2
-    assert validate_mapping(Format.TEXT, ColumnMapping(text_template="{a} {q}"), ["a"]) == ["Template references missing column(s): q"]
+    assert validate_mapping(Format.TEXT, ColumnMapping(text_template="{a} {q}"), ["a"]) == ["The template uses columns that the dataset does not have: q."]
     assert validate_mapping(Format.CHAT, ColumnMapping(user_col="a"), ["a"])
-    assert validate_mapping(Format.DPO, ColumnMapping(), ["a"]) == [f"{x} column must be specified." for x in ("Prompt", "Chosen", "Rejected")]
+    assert validate_mapping(Format.DPO, ColumnMapping(), ["a"]) == [f"No column is given for the {x}." for x in ("prompt", "chosen", "rejected")]
 
 
 def test_plan_mapping_overrides():

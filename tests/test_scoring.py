@@ -136,7 +136,9 @@ def test_traces(spark):
 def test_key_sets(spark):
     lines = ['{"a":1,"b":2}', '{"b":1,"a":{"c":1}}', '{"a":1', "[1]", ""]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
-    assert [(r["keys"], r["rows"]) for r in key_sets(df).collect()] == [("a,b", 2)]
+    assert [(r["keys"], r["rows"]) for r in key_sets(df).collect()] == [(["a", "b"], 2)]
+    commas = spark.createDataFrame([('{"a,b":1}',), ('{"a":1,"b":2}',)], "value string")
+    assert not training_compat(key_sets(commas), multimodal=False).first()["consistent"]
     chat = spark.createDataFrame([('{"question":1,"answer":2}',)], "value string")
     assert training_compat(key_sets(chat)).first()["compatible"]
     assert not training_compat(key_sets(df)).first()["compatible"]

@@ -175,11 +175,12 @@ def database(path, tables):
 @pytest.mark.parametrize(
     "tables, chosen",
     [
-        ({"train": 3, "Validation": 2, "extra": 1}, {"train": "train", "valid": "Validation"}),
-        ({"only": 3}, {"default": "only"}),
-        ({"odd": 0, "Records": 2}, {"default": "Records"}),
-        ({"a": 1, "b": 2}, {"a": "a", "b": "b"}),
-        ({"a": 1, "odd": 2}, {"default": "a"}),
+        ({"train": 3, "Validation": 2, "extra": 1}, {"train": ["train"], "valid": ["Validation"]}),
+        ({"valid": 3, "dev": 2}, {"valid": ["valid", "dev"]}),
+        ({"only": 3}, {"default": ["only"]}),
+        ({"odd": 0, "Records": 2}, {"default": ["Records"]}),
+        ({"a": 1, "b": 2}, {"a": ["a"], "b": ["b"]}),
+        ({"a": 1, "odd": 2}, {"default": ["a"]}),
     ],
 )
 def test_sqlite_tables(tmp_path, tables, chosen):
@@ -197,6 +198,81 @@ def test_sqlite_read(spark, tmp_path):
         choose_tables(path, "nope")
 
 
+def test_sqlite_rowids_far_apart(spark, tmp_path):
+    path = str(tmp_path / "far.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, x TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(-(1 << 62), "a"), (1, "b"), (10**12, "c"), ((1 << 63) - 1, "d")])
+    db.close()
+    df = read_sqlite_table(spark, path, "t")
+    assert df.rdd.getNumPartitions() == 1 and sorted(r["x"] for r in df.collect()) == ["a", "b", "c", "d"]
+    two = read_sqlite_table(spark, path, "t", tasks=2)
+    assert two.rdd.getNumPartitions() == 2 and sorted(r["x"] for r in two.collect()) == ["a", "b", "c", "d"]
+
+
+def test_split_file_keeps_the_split_it_is_named_for(spark, tmp_path):
+    database(tmp_path / "train.db", {"train": 5, "test": 2})
+    database(tmp_path / "valid.db", {"dev": 3, "validation": 4})
+    got = {r[SPLIT]: r["count"] for r in load(spark, str(tmp_path)).df.groupBy(SPLIT).count().collect()}
+    assert got == {"train": 5, "valid": 7}
+    database(tmp_path / "test.db", {"train": 5, "dev": 2})
+    with pytest.raises(ValueError, match="stands for the split 'test'"):
+        load(spark, str(tmp_path))
+
+
+def test_eight_bit_files_are_read_right_by_default(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k,v\n1,café “x”\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("k,v\n2,naïve\n".encode("utf-8"))
+    (tmp_path / "c d.jsonl").write_bytes('{"k": "3", "v": "über"}\n'.encode("latin-1"))
+    got = {r["k"]: r["v"] for r in load(spark, str(tmp_path)).df.collect()}
+    assert got == {"1": "café “x”", "2": "naïve", "3": "über"}
+    assert load(spark, str(tmp_path / "a.csv")).df.first()["v"] == "café “x”"
+    late = tmp_path / "late.txt"
+    late.write_bytes(b"plain line\n" * 20_000 + "né\n".encode("latin-1"))
+    assert "né" in {r[0] for r in load(spark, str(late)).df.select("text").distinct().collect()}
+
+
+def test_csv_is_split_unless_quotes_span_lines(spark, tmp_path):
+    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+    plain.write_text("a,b\n" + "".join(f'{k},"x ""{k}"" y"\n' for k in range(20_000)))
+    quoted.write_text('a,b\n1,"two\nlines"\n2,x\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = load(spark, str(plain)).df
+        assert rows.rdd.getNumPartitions() > 2 and rows.count() == 20_000
+        assert rows.where("a = '7'").first()["b"] == 'x "7" y'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["a"]: r["b"] for r in load(spark, str(quoted)).df.collect()} == {"1": "two\nlines", "2": "x"}
+
+
+def test_lines_that_are_no_objects_add_no_columns(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"a": 1}\n[{"other": 5}]\n"text"\n{"a": 2, "b": "x"}\n')
+    df = load(spark, str(path)).df.drop(SPLIT)
+    assert df.dtypes == [("a", "bigint"), ("b", "string")] and df.count() == 2
+
+
+def test_shards_of_a_folder_share_a_reader(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"part{k:02}.jsonl").write_text(f'{{"k": {k}}}\n' + ('{"k": 1, "more": "x"}\n' if k == 7 else ""))
+    rows = load(spark, str(tmp_path)).df
+    assert rows.count() == 21 and set(rows.columns) == {"k", "more", SPLIT}
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_a_callable_is_a_source(spark):
+    assert load(spark, lambda s: s.range(3)).df.columns == ["id", SPLIT]
+
+
+def test_ids_go_on_from_file_to_file(spark, tmp_path):
+    for name, n in (("b", 2), ("a", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(f'{{"prompt": "{name}{k}", "completion": "x"}}' for k in range(n)) + "\n")
+    paths = [str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")]
+    got = [(r["id"], r["prompt"]) for r in read_eval_samples(spark, paths).orderBy("id").collect()]
+    assert got == [(1, "a0"), (2, "a1"), (3, "a2"), (4, "b0"), (5, "b1")]
+
+
 def archive(path, members, mode="w"):
     with tarfile.open(path, mode) as tar:
         for name, content in members:

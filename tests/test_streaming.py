@@ -12,6 +12,7 @@ from tuneprep.streaming.logs import (
     metric_stream,
     milestone_stream,
     overfit_alerts,
+    rocksdb_state,
     running_best,
 )
 from tuneprep.streaming.records import progress, record_stream, write_formatted
@@ -59,12 +60,14 @@ def test_overfit_alert_keeps_state_between_batches(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     batches = [
         [("a", 100, 2.0), ("a", 200, 1.0), ("b", 100, 1.0)],
-        [("a", 300, 1.01), ("b", 200, 1.2)],
+        [("a", 150, 5.0), ("a", 200, 9.0), ("a", 300, 7.0), ("a", 300, 1.01), ("b", 200, 1.2)],
         [("a", 400, 1.02), ("a", 500, 0.1), ("b", 300, 9.0)],
     ]
     for batch in batches:
-        spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        append_to(overfit_alerts(stream), out, check).awaitTermination()
+        with rocksdb_state(spark):
+            query = append_to(overfit_alerts(stream), out, check)
+        query.awaitTermination()
     got = {r["run_id"]: r["stop_step"] for r in spark.read.parquet(out).collect()}
     assert got == {"a": 400, "b": 200}

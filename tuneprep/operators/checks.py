@@ -123,8 +123,8 @@ def reasoning_summary(df: DataFrame, by: Sequence[str] = ("_split",)) -> DataFra
 
 
 def key_sets(lines: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
-    """Counts of the sorted key sets of JSON objects; other lines are dropped."""
-    keys = F.array_join(F.array_sort(F.array_distinct(F.json_object_keys(value))), ",")
+    """Counts of the sorted key sets, as arrays, of JSON objects; other lines are dropped."""
+    keys = F.array_sort(F.array_distinct(F.json_object_keys(value)))
     # Kept or dropped in a generator, so that a line is parsed once; see parse_log_lines.
     objects = lines.select(*by, F.explode(F.array_compact(F.array(keys))).alias("keys"))
     return objects.groupBy(*by, "keys").agg(F.count(F.lit(1)).alias("rows"))
@@ -136,8 +136,7 @@ def training_compat(sets: DataFrame, by: Sequence[str] = (), multimodal: bool =
     Rows must all have the same keys. The multimodal engine also needs messages or
     conversations, or question with answer.
     """
-    keys = F.split("keys", ",")
-    has = lambda k: F.array_contains(keys, k)
+    has = lambda k: F.array_contains("keys", k)
     chat = has("messages") | has("conversations") | (has("question") & has("answer"))
     found = sets.groupBy(*by).agg(F.count(F.lit(1)).alias("key_sets"), F.bool_and(chat).alias("chat"))
     agree = F.col("key_sets") == 1

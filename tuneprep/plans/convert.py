@@ -76,14 +76,17 @@ def convert(
     shuffle: bool = True,
     gold: bool = False,
     progress: Callable[[str, int], None] | None = None,
+    encoding: str = "auto",
+    multiline: bool | None = None,
     **overrides,
 ) -> dict:
     """Read, map, split, write JSON lines and a manifest; returns the manifest.
 
     ``shuffle`` writes rows in the seeded order of the split; without it rows are not
     moved at all. ``progress`` is called with (split, records) as splits are counted.
+    ``encoding`` and ``multiline`` are those of ``load``; ``source`` may be a callable, too.
     """
-    dataset = source if isinstance(source, Dataset) else load(spark, source)
+    dataset = source if isinstance(source, Dataset) else load(spark, source, encoding, multiline)
     fmt, mapping = plan_mapping(dataset.columns, fmt, mapping, **overrides)
     config = config or SplitConfig()
     rows = split_dataset(dataset, config, keep_splits, key)
@@ -125,8 +128,10 @@ def inspect(dataset: Dataset, samples: int = 3) -> dict:
     }
 
 
-def preview(df: DataFrame, fmt: Format, mapping: ColumnMapping, rows: int = 3) -> DataFrame:
-    """The first formatted rows as JSON."""
+def preview(df: DataFrame, fmt: Format, mapping: ColumnMapping, rows: int = 3, order: str | None = None) -> DataFrame:
+    """The first formatted rows as JSON, by the column ``order``; without it any rows."""
+    if order:
+        df = df.orderBy(order).limit(rows)
     return format_records(df, fmt, mapping).limit(rows).select(record_json(fmt).alias("record"))
 
 

@@ -218,8 +218,9 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_keysets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = key_sets(table(spark, sf_dir, "events").select(F.col("props").alias("value")))
-    lines = key_sets(_event_lines(spark, sf_dir))
+    shown = F.array_join("keys", ",")
+    props = key_sets(table(spark, sf_dir, "events").select(F.col("props").alias("value"))).withColumn("keys", shown)
+    lines = key_sets(_event_lines(spark, sf_dir)).withColumn("keys", shown)
     return props.withColumn("origin", F.lit("props")).unionByName(lines.withColumn("origin", F.lit("lines")))
 
 
@@ -348,7 +349,7 @@ def inspect_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview(table(spark, sf_dir, "documents"), Format.TEXT, ColumnMapping(text_col="text"))
+    return preview(table(spark, sf_dir, "documents"), Format.TEXT, ColumnMapping(text_col="text"), order="doc_id")
 
 
 def fmt_auto_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,6 +419,7 @@ _EPOCHS = """counts AS (SELECT source AS dataset, count(*) AS records FROM docum
         FROM counts, (VALUES (600), (1000)) i(iters), (VALUES (2), (4)) b(batch_size), (VALUES (1), (2)) g(acc))"""
 
 SQL = {
+    "preview": f"SELECT to_json({{text: {strip('text')}}})::VARCHAR AS record FROM documents ORDER BY doc_id LIMIT 3",
     "fmt_text_documents": f"SELECT doc_id, {_SYS} || CASE WHEN {strip('text')} = '' THEN '' ELSE {_PARA} || {strip('text')} END AS text FROM documents",
     "fmt_text_template": f"SELECT doc_id, '### ' || lang || ' (' || source || ', ' || n_chars || ')' || {_NL} || text || {_NL} AS text FROM documents",
     "fmt_prompt_completion_concat": f"""SELECT o_orderkey, {strip('c_name')} || {_PARA} || {strip('c_mktsegment')} || {_PARA} || {strip('o_orderpriority')} AS prompt,

@@ -23,6 +23,7 @@ from tuneprep.streaming.logs import (
     metric_stream,
     milestone_stream,
     overfit_alerts,
+    rocksdb_state,
     running_accuracy,
     running_best,
 )
@@ -106,7 +107,9 @@ def stream_overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "run_id string, step long, val_loss double"
     # Files in order of step: a run's steps must grow from batch to batch.
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
-    _run(append_to(overfit_alerts(stream), f"{base}/out", f"{base}/checkpoint"))
+    with rocksdb_state(spark):
+        query = append_to(overfit_alerts(stream), f"{base}/out", f"{base}/checkpoint")
+    _run(query)
     return spark.read.parquet(f"{base}/out")
 
 

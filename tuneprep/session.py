@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -60,13 +61,17 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where the session names none (tests
-    on one machine) a temporary folder is made and set, so later calls share it.
+    The setting is read from the session. Where the session names none, a local one (tests)
+    gets a temporary folder, which later calls share; on a cluster no folder of this machine
+    would do, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of '{master}' share")
         base = tempfile.mkdtemp(prefix="tuneprep-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tuneprep/{name}-{uuid.uuid4().hex[:12]}"

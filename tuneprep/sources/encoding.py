@@ -11,16 +11,19 @@ import io
 import posixpath
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tuneprep.sources.files import filesystem, head, utf_of
 
 # What is tried when a file is not UTF, in this order.
 EIGHT_BIT = ("cp1252", "latin-1", "iso-8859-15", "mac_roman")
 CONTROL_LOOKAHEAD = 4096
+COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy", ".deflate")
 
 CHUNK = 1 << 20
 LINES_PER_BATCH = 20_000
@@ -69,6 +72,23 @@ def decoded_lines(path: str) -> Iterator[tuple[str, int, str]]:
             yield encoding, number, line.rstrip("\n")
 
 
+def not_utf8(spark: SparkSession, paths: list[str]) -> set[str]:
+    """The files of which some line is no UTF-8, or whose head shows UTF-16 or UTF-32.
+
+    Lines are checked in parallel pieces, as they are in the file. Compressed files are taken
+    for UTF-8.
+    """
+    plain = [p for p in paths if not p.lower().endswith(COMPRESSED)]
+    with ThreadPoolExecutor(32) as pool:
+        marked = {p for p, utf in zip(plain, pool.map(lambda p: utf_of(head(p)), plain), strict=True) if utf not in (None, "utf-8-sig")}
+    rest = {posixpath.abspath(filesystem(p)[1]): p for p in plain if p not in marked}
+    if not rest:
+        return marked
+    lines = spark.read.text(list(rest.values())).select(F.col("_metadata.file_path").alias("path"), "value")
+    bad = lines.where(~F.is_valid_utf8("value")).select("path").distinct().toLocalIterator()
+    return marked | {rest[posixpath.abspath(filesystem(r["path"])[1])] for r in bad}
+
+
 def utf8_copies(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
     """(path, copy): every file as UTF-8 in ``folder``, one task per file.
 

@@ -13,9 +13,12 @@ from tuneprep.sources.text import number_lines, read_lines
 
 
 def read_eval_samples(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(id, prompt, golden, messages) of a JSONL test set. The id is the line number, and
-    blank or broken lines count."""
-    lines = number_lines(read_lines(spark, paths)).select(F.col("line_no").alias("__id"), F.col("line").alias("value"))
+    """(id, prompt, golden, messages) of a JSONL test set.
+
+    The id is the line number, counted on from file to file in the order of their paths;
+    blank or broken lines count.
+    """
+    lines = number_lines(read_lines(spark, paths), across=True).select(F.col("line_no").alias("__id"), F.col("line").alias("value"))
     records = parse_objects(lines, infer_schema(spark, paths), keep=["__id"])
     prompt, golden, messages = eval_samples(records)
     return records.select(

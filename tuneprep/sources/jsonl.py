@@ -26,7 +26,11 @@ def looks_like_object(value: Column | str) -> Column:
 
 
 def infer_schema(spark: SparkSession, paths: Sequence[str]) -> StructType:
-    schema = spark.read.options(**STRICT, recursiveFileLookup="true").json(list(paths)).schema
+    """The columns of the lines that look like objects; what other lines hold adds none."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(list(paths)).select("value").where(looks_like_object("value"))
+    # Only the JVM's reader takes a dataset of strings.
+    strings = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    schema = DataFrame(spark.read.options(**STRICT)._jreader.json(strings), spark).schema
     return StructType([f for f in schema if f.name != CORRUPT])
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.operators.splitting import SPLIT
+from tuneprep.operators.splitting import SPLIT, SPLIT_NAMES, normalize_split
 from tuneprep.session import scratch_dir
 from tuneprep.sources.arrow_ipc import read_arrow
-from tuneprep.sources.encoding import utf8_copies
+from tuneprep.sources.encoding import not_utf8, utf8_copies
 from tuneprep.sources.files import (
     PARQUET_FOLDERS,
     SPLIT_FILES,
@@ -29,7 +30,6 @@ from tuneprep.sources.files import (
     names,
     path_list,
     split_table,
-    utf_of,
 )
 from tuneprep.sources.jsonl import read_json_array, read_jsonl
 from tuneprep.sources.sqlite import read_sqlite
@@ -37,6 +37,8 @@ from tuneprep.sources.tar import read_tar
 from tuneprep.sources.text import read_text_files
 
 DEFAULT = "default"
+#: Files whose first bytes are looked at together.
+HEADS_AT_ONCE = 32
 
 
 class SchemaMismatch(ValueError):
@@ -56,12 +58,20 @@ class Dataset:
         return [c for c in self.df.columns if c != SPLIT]
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], separator: str = ",", multiline: bool = True) -> DataFrame:
+def has_quoted_newlines(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether some line has an odd number of quotes, as it must where a quoted value holds a newline."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(list(paths)).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, paths: Sequence[str], separator: str = ",", multiline: bool | None = None) -> DataFrame:
     """Delimited text with a header, every column a string.
 
-    Quoted newlines need ``multiline``, which reads a file in one task; turn it off for
-    large files without them.
+    ``multiline`` allows newlines in quotes, for which a file must be one task. None: as the
+    files need it, which one parallel pass over their lines decides.
     """
+    if multiline is None:
+        multiline = has_quoted_newlines(spark, paths)
     return spark.read.csv(list(paths), header=True, sep=separator, inferSchema=False, multiLine=multiline, escape='"')
 
 
@@ -81,20 +91,40 @@ def holds_parquet(path: str) -> bool:
     return any(named_parquet(f) for f in files)
 
 
-def load_file(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+def _kind(path: str) -> tuple[str, list[str]]:
+    """The kind of a file, or of a folder that Spark wrote under a file's name, and its parts."""
+    parts = (listing(path)[0] or [path]) if is_dir(path) else [path]
+    kind = file_kind(path, parts[0])
+    return ("array" if kind == "json" and is_json_array(parts[0]) else kind), parts
+
+
+def _utf8(spark: SparkSession, paths: list[str], parts: list[str], encoding: str) -> list[str]:
+    """What to read instead of ``paths``, whose files are ``parts``: those that are not UTF-8 are copied to scratch."""
+    other = not_utf8(spark, parts) if encoding == "auto" else set(parts) if encoding == "detect" else set()
+    if not other:
+        return paths
+    copies = scratch_dir(spark, "utf8")
+    utf8_copies(spark, sorted(other), copies).write.format("noop").mode("overwrite").save()
+    return [p for p in parts if p not in other] + [copies]
+
+
+def read_files(spark: SparkSession, kind: str, paths: Sequence[str], multiline: bool | None = None) -> DataFrame:
+    """Text files of one kind by one reader."""
+    if kind in ("csv", "tsv"):
+        return read_csv(spark, paths, "," if kind == "csv" else "\t", multiline)
+    return read_text_files(spark, paths) if kind == "text" else read_jsonl(spark, paths)
+
+
+def load_file(spark: SparkSession, path: str, encoding: str = "auto", multiline: bool | None = None) -> DataFrame:
     """One file (or ``file.db::table``) as rows, with ``_split`` where the file has splits.
 
-    ``encoding`` is ``utf-8``, ``detect``, or ``auto``: detect where the head of the file
-    is marked as or looks like UTF-16/32. UTF-8 files are read in parallel pieces; others
-    are copied to UTF-8 in the shared scratch folder first.
+    ``encoding`` is ``utf-8``, ``detect``, or ``auto``: detect where a file is not UTF-8 from
+    its first byte to its last, which one parallel pass finds out. UTF-8 files are read in
+    parallel pieces; others are copied to UTF-8 in the shared scratch folder first.
+    ``multiline`` is that of ``read_csv``.
     """
     file, table = split_table(path)
-    first = file
-    if is_dir(file):  # what Spark writes under a file's name
-        first = next(iter(listing(file)[0]), file)
-        kind = file_kind(file, first)
-    else:
-        kind = "sqlite" if table else file_kind(file)
+    kind, parts = ("sqlite", [file]) if table else _kind(file)
     if kind == "parquet":
         return spark.read.parquet(file)
     if kind == "arrow":
@@ -103,20 +133,35 @@ def load_file(spark: SparkSession, path: str, encoding: str = "auto") -> DataFra
         return read_sqlite(spark, file, table)
     if kind == "tar":
         return read_tar(spark, [file])
-    if kind == "json" and is_json_array(first):
-        return read_json_array(spark, [file])
-    if encoding == "detect" or (encoding == "auto" and utf_of(head(first)) not in (None, "utf-8-sig")):
-        sources = listing(file)[0] if first != file else [file]
-        copies = scratch_dir(spark, "utf8")
-        utf8_copies(spark, sources, copies).write.format("noop").mode("overwrite").save()
-        file = copies
-    if kind == "csv":
-        return read_csv(spark, [file])
-    if kind == "tsv":
-        return read_csv(spark, [file], separator="\t")
-    if kind == "text":
-        return read_text_files(spark, [file])
-    return read_jsonl(spark, [file])
+    if kind == "array":
+        return read_json_array(spark, parts)
+    return read_files(spark, kind, _utf8(spark, [file], parts, encoding), multiline)
+
+
+def load_files(spark: SparkSession, paths: Sequence[str], encoding: str = "auto", multiline: bool | None = None) -> DataFrame:
+    """Many files as the rows of one table. Files of a kind, for CSV those of one header, share a reader."""
+    groups: dict[tuple[str, bytes], list[str]] = {}
+    single: list[str] = []
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        for path, (kind, parts) in zip(paths, pool.map(_kind, paths), strict=True):
+            if kind in ("csv", "tsv", "text", "json") and parts == [path]:
+                groups.setdefault((kind, head(path).split(b"\n")[0] if kind in ("csv", "tsv") else b""), []).append(path)
+            elif kind in ("array", "arrow", "parquet") and parts == [path]:
+                groups.setdefault((kind, b""), []).append(path)
+            else:
+                single.append(path)
+    frames = []
+    for (kind, _), own in groups.items():
+        if kind == "array":
+            frames.append(read_json_array(spark, own))
+        elif kind == "arrow":
+            frames.append(read_arrow(spark, own))
+        elif kind == "parquet":
+            frames.extend(spark.read.parquet(p) for p in own)
+        else:
+            frames.append(read_files(spark, kind, _utf8(spark, own, own, encoding), multiline))
+    frames += [load_file(spark, p, encoding, multiline).drop(SPLIT) for p in single]
+    return union_all(frames)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -130,6 +175,22 @@ def _with_split(df: DataFrame, split: str) -> DataFrame:
     return df.withColumn(SPLIT, F.lit(split))
 
 
+def _inner_split(rows: DataFrame, split: str, file: str) -> DataFrame:
+    """Of an archive or database named for a split and with splits of its own: the rows of that split.
+
+    A file whose rows are all of one split, or of none, is that split whatever it is called.
+    """
+    own = normalize_split(F.col(SPLIT))
+    wanted = SPLIT_NAMES.get(split, split)
+    inner = sorted(r[0] for r in rows.select(own).distinct().toLocalIterator())
+    if len(inner) <= 1:
+        return rows.drop(SPLIT)
+    for name in (wanted, DEFAULT):
+        if name in inner:
+            return rows.where(own == name).drop(SPLIT)
+    raise ValueError(f"'{file}' stands for the split '{split}' but has the splits {', '.join(inner)}; say which one with '::'")
+
+
 def _split_files(files: Sequence[str]) -> dict[str, str]:
     """Split -> file; for each split the first suffix of SPLIT_SUFFIXES that exists."""
     names = {f.rsplit("/", 1)[-1]: f for f in files}
@@ -175,7 +236,7 @@ def with_class_names(df: DataFrame, features: dict[str, list[str]]) -> DataFrame
     return df
 
 
-def load_folder(spark: SparkSession, folder: str, encoding: str = "auto") -> Dataset:
+def load_folder(spark: SparkSession, folder: str, encoding: str = "auto", multiline: bool | None = None) -> Dataset:
     saved = _saved_splits(spark, folder)
     if saved:
         return Dataset(with_class_names(saved.df, saved.features), folder, saved.features)
@@ -186,10 +247,9 @@ def load_folder(spark: SparkSession, folder: str, encoding: str = "auto") -> Dat
     if splits:
         frames = []
         for split, file in splits.items():
-            rows = load_file(spark, file, encoding)
-            if SPLIT in rows.columns:  # an archive or database of its own splits: its default, else its first
-                inner = sorted(r[SPLIT] for r in rows.select(SPLIT).distinct().limit(1000).toLocalIterator())
-                rows = rows.where(F.col(SPLIT) == (DEFAULT if DEFAULT in inner else inner[0])).drop(SPLIT)
+            rows = load_file(spark, file, encoding, multiline)
+            if SPLIT in rows.columns:
+                rows = _inner_split(rows, split, file)
             frames.append(_with_split(rows, split))
         return Dataset(union_all(frames), folder)
     if holds_parquet(folder):
@@ -198,19 +258,17 @@ def load_folder(spark: SparkSession, folder: str, encoding: str = "auto") -> Dat
     if not known:
         raise ValueError(f"no dataset files in '{folder}'")
     features = class_names(folder)
-    shards = [f for f in known if f.endswith(".arrow")]
-    frames = [read_arrow(spark, shards)] if shards else []
-    frames += [load_file(spark, f, encoding).drop(SPLIT) for f in known if f not in shards]
-    return Dataset(with_class_names(_with_split(union_all(frames), DEFAULT), features), folder, features)
+    rows = load_files(spark, known, encoding, multiline)
+    return Dataset(with_class_names(_with_split(rows, DEFAULT), features), folder, features)
 
 
-def load_one(spark: SparkSession, path: str, encoding: str = "auto") -> Dataset:
+def load_one(spark: SparkSession, path: str, encoding: str = "auto", multiline: bool | None = None) -> Dataset:
     file, _ = split_table(path)
     if not exists(file):
-        raise FileNotFoundError(f"Dataset path not found: {file}")
+        raise FileNotFoundError(f"there is no file or folder '{file}'")
     if is_dir(file):
-        return load_folder(spark, file.rstrip("/"), encoding)
-    df = load_file(spark, path, encoding)
+        return load_folder(spark, file.rstrip("/"), encoding, multiline)
+    df = load_file(spark, path, encoding, multiline)
     return Dataset(df if SPLIT in df.columns else _with_split(df, DEFAULT), path)
 
 
@@ -235,10 +293,18 @@ def merge(datasets: Sequence[Dataset]) -> Dataset:
     return Dataset(_with_split(rows, DEFAULT), source, base.features)
 
 
-def load(spark: SparkSession, paths, encoding: str = "auto") -> Dataset:
-    """A file, a folder, ``db::table``, or several of them merged."""
+def load(spark: SparkSession, paths, encoding: str = "auto", multiline: bool | None = None) -> Dataset:
+    """A file, a folder, ``db::table``, or several of them merged.
+
+    ``paths`` may also be a callable that takes the session and returns a DataFrame or a Dataset.
+    """
+    if callable(paths):
+        made = paths(spark)
+        if isinstance(made, Dataset):
+            return made
+        return Dataset(made if SPLIT in made.columns else _with_split(made, DEFAULT), getattr(paths, "__name__", "callable"))
     names = path_list(paths)
     if not names:
-        raise ValueError("No dataset path provided.")
-    datasets = [load_one(spark, name, encoding) for name in names]
+        raise ValueError("give at least one path")
+    datasets = [load_one(spark, name, encoding, multiline) for name in names]
     return datasets[0] if len(datasets) == 1 else merge(datasets)

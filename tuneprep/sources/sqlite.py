@@ -69,16 +69,18 @@ class SqliteReader(DataSourceReader):
 
     def _pieces(self, path: str) -> list[InputPartition]:
         with closing(connect(path)) as db:
+            table = quoted(self.table)
             try:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+                (rows,) = db.execute(f"SELECT count(rowid) FROM {table}").fetchone()
             except sqlite3.OperationalError:  # WITHOUT ROWID, or a view
                 return [_RowIds(path)]
-        if low is None:
-            return [_RowIds(path)]
-        span = high - low + 1
-        tasks = min(self.tasks or -(-span // ROWS_PER_TASK), span)
-        step = -(-span // tasks)
-        return [_RowIds(path, start, min(start + step, high + 1)) for start in range(low, high + 1, step)]
+            step = -(-rows // self.tasks) if self.tasks else ROWS_PER_TASK
+            # From row to row, not from number to number: rowids may be far apart.
+            starts: list[int | None] = [None]
+            jump = f"SELECT rowid FROM {table} WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET {max(1, step)}"
+            while found := db.execute(jump, (-(1 << 63) if starts[-1] is None else starts[-1],)).fetchone():
+                starts.append(found[0])
+        return [_RowIds(path, low, high) for low, high in zip(starts, [*starts[1:], None], strict=True)]
 
     def read(self, partition: _RowIds) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,8 +91,9 @@ class SqliteReader(DataSourceReader):
             for f in self.schema
         ]
         query = f"SELECT {', '.join(columns)} FROM {quoted(self.table)}"
-        if partition.low is not None:
-            query += f" WHERE rowid >= {partition.low} AND rowid < {partition.high}"
+        limits = [f"rowid >= {partition.low}"] * (partition.low is not None) + [f"rowid < {partition.high}"] * (partition.high is not None)
+        if limits:
+            query += f" WHERE {' AND '.join(limits)}"
         with closing(connect(partition.path)) as db:
             cursor = db.execute(query)
             while rows := cursor.fetchmany(ROWS_PER_BATCH):
@@ -140,8 +143,8 @@ def read_sqlite_table(
     return (reader.schema(schema) if schema is not None else reader).load()
 
 
-def choose_tables(path: str, table: str | None = None) -> dict[str, str]:
-    """Split -> table. A single table that is not a split has the split ``default``."""
+def choose_tables(path: str, table: str | None = None) -> dict[str, list[str]]:
+    """Split -> tables. A single table that is not a split has the split ``default``."""
     with closing(connect(path)) as db:
         names = [
             r[0]
@@ -153,15 +156,19 @@ def choose_tables(path: str, table: str | None = None) -> dict[str, str]:
     if table is not None:
         if table not in names:
             raise ValueError(f"no table '{table}' in '{path}'; it has {', '.join(names)}")
-        return {"default": table}
-    splits = {s: n for n in names for s, known in SPLIT_TABLES.items() if n.lower() in known}
+        return {"default": [table]}
+    splits: dict[str, list[str]] = {}
+    for name in names:
+        for split, known in SPLIT_TABLES.items():
+            if name.lower() in known:
+                splits.setdefault(split, []).append(name)
     if splits:
         return splits
     main = [n for n in names if n.lower() in MAIN_TABLES]
     same_columns = all(columns[n] == columns[names[0]] for n in names)
     if len(names) > 1 and not main and same_columns:
-        return {n: n for n in names}
-    return {"default": (main or names)[0]}
+        return {n: [n] for n in names}
+    return {"default": [(main or names)[0]]}
 
 
 def read_sqlite(spark: SparkSession, paths: str | Sequence[str], table: str | None = None) -> DataFrame:
@@ -172,7 +179,8 @@ def read_sqlite(spark: SparkSession, paths: str | Sequence[str], table: str | No
     first = paths if isinstance(paths, str) else paths[0]
     frames = [
         read_sqlite_table(spark, paths, name).withColumn(SPLIT, F.lit(split))
-        for split, name in choose_tables(first, table).items()
+        for split, tables in choose_tables(first, table).items()
+        for name in tables
     ]
     df = frames[0]
     for other in frames[1:]:

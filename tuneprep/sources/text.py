@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import strip, tokens
+from tuneprep.session import scratch_dir
 
 # How prompt/completion files are recognised.
 DELIMITERS = ("@", "\t", "::", "||", "|")
-SAMPLE_LINES = 100
 VALID_SHARE = 0.80
 LABEL_CHARS = 80
 LABEL_WORDS = 6
@@ -30,18 +30,22 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame, across: bool = False) -> DataFrame:
     """(file, line_no, line), counted from 1 over every line of a file.
 
-    Lines are numbered per block, which is at most one input split, and blocks are offset
-    by the lines before them. A large file is numbered by many tasks.
+    With ``across`` the count goes on from file to file in the order of their paths. ``at``
+    grows by one from line to line of a block, so a line's number follows from its own and
+    its block's first, and no line is moved: only the table of blocks, which has a row for
+    each input split, is joined. It is written first, so that Spark knows how small it is.
     """
-    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    numbered = lines.withColumn("inside", inside).join(offsets, ["file", "block"])
-    return numbered.select("file", (F.col("before") + F.col("inside")).alias("line_no"), "line")
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    window = Window.orderBy("file", "block") if across else Window.partitionBy("file").orderBy("block")
+    earlier = F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("file", "block", (earlier - F.col("first") + 1).alias("shift"))
+    path = scratch_dir(lines.sparkSession, "blocks")
+    offsets.write.parquet(path)
+    offsets = lines.sparkSession.read.schema(offsets.schema).parquet(path)
+    return lines.join(offsets, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def _after(line: Column, delimiter: str) -> Column:
@@ -62,17 +66,14 @@ def _valid(line: Column, delimiter: str) -> Column:
 
 
 def detect_delimiters(lines: DataFrame) -> DataFrame:
-    """(file, delimiter) for every file whose first lines have one; others are absent.
+    """(file, delimiter) for every file of which most lines have one; others are absent.
 
-    The first 100 non-blank lines of each file are looked at. Spark cuts every task to 100
-    lines per file before the exchange.
+    All lines count. Spark sums them up per task, so a row for each file and task is moved.
     """
-    first = Window.partitionBy("file").orderBy("block", "at")
-    sample = lines.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_LINES)
     line = F.col("line")
     address = F.contains(line, F.lit("@")) & F.contains(_after(line, "@"), F.lit(".")) & ~F.contains(line, F.lit(" "))
     shares = [F.avg(_valid(line, d).cast("int")).alias(f"s{i}") for i, d in enumerate(DELIMITERS)]
-    seen = sample.groupBy("file").agg(F.max(address).alias("addresses"), *shares)
+    seen = lines.groupBy("file").agg(F.max(address).alias("addresses"), *shares)
     choice = F.coalesce(
         *[
             F.when((F.col(f"s{i}") >= VALID_SHARE) & (~F.col("addresses") if d == "@" else F.lit(True)), F.lit(d))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,17 +77,20 @@ def latest(spark: SparkSession, path: str, key: str = "run_id") -> DataFrame:
 
 
 class _RiseWatch(StatefulProcessor):
-    """Keeps (previous, minimum, rose, stopped) of a run's validation loss."""
+    """Keeps (last step, previous, minimum, rose, stopped) of a run's validation loss."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("curve", "previous double, low double, rose boolean, stopped boolean")
+        self.state = handle.getValueState("curve", "step long, previous double, low double, rose boolean, stopped boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        previous, low, rose, stopped = self.state.get() if self.state.exists() else (None, None, False, False)
+        last, previous, low, rose, stopped = self.state.get() if self.state.exists() else (None, None, None, False, False)
         if stopped:
             return
-        points = pd.concat(list(rows)).sort_values("step")
+        points = pd.concat(list(rows)).dropna().sort_values("step", kind="stable").drop_duplicates("step", keep="last")
+        if last is not None:
+            points = points[points["step"] > last]
         for step, loss in zip(points["step"].tolist(), points["val_loss"].tolist()):
+            last = step
             if low is None or loss < low:
                 low, rose = loss, False
             else:
@@ -98,19 +102,36 @@ class _RiseWatch(StatefulProcessor):
                     break
                 rose = rises
             previous = loss
-        self.state.update((previous, low, rose, stopped))
+        if last is not None:
+            self.state.update((last, previous, low, rose, stopped))
 
     def close(self) -> None:
         pass
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's own setting comes back after."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def overfit_alerts(points: DataFrame) -> DataFrame:
     """(run_id, stop_step, val_loss): the first step at which a run starts to overfit.
 
-    ``points`` is a stream of (run_id, step, val_loss) in which steps of a run grow from
-    batch to batch. A run keeps four values of state, whatever its length.
+    ``points`` is a stream of (run_id, step, val_loss). Points of one batch are taken in the
+    order of their steps; of equal steps the last one counts. A point at or before the last
+    step of an earlier batch comes too late and is left out, like one without step or loss.
+    A run keeps five values of state, whatever its length. The query must be started in
+    ``rocksdb_state``.
     """
-    points.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     return points.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=_RiseWatch(),
         outputStructType="run_id string, stop_step long, val_loss double",
