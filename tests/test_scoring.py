@@ -6,7 +6,6 @@ from tuneprep.operators.checks import discrete_labels, key_sets, label_values, r
 from tuneprep.operators.coverage import implied_epochs, sweep_coverage, sweep_runs
 from tuneprep.operators.generate import baseline_answers, generate_answers, generation_speed
 from tuneprep.operators.scoring import (
-    answer_classes,
     by_status,
     class_lists,
     class_summary,
@@ -56,7 +55,7 @@ def test_missing_answers_count_as_wrong(spark):
 
 def test_confusion(spark):
     rows = [("positive", "", "positive"), ("negative", "", "negative"), ("neutral", "", "The answer: neutral!"), ("positive", "", "positive, not negative"), ("neutral", "", "Neutral")]
-    cells = confusion_cells(answer_classes(pairs(spark, rows)))
+    cells = confusion_cells(pairs(spark, rows))
     matrix = {(r["actual"], r["predicted"], r["is_other"]): r["n"] for r in confusion_matrix(cells).collect()}
     assert len(matrix) == 12 and sum(matrix.values()) == 5
     assert matrix[("positive", "other", True)] == 1
@@ -68,9 +67,26 @@ def test_confusion(spark):
     assert (total["majority_label"], total["majority_baseline"], total["accuracy_over_baseline"]) == ("positive", 40.0, 40.0)
 
 
+def test_free_text_answers_to_class_questions_are_not_moved(spark, tmp_path):
+    rows = [("yes" if k % 2 else "no", "", f"free answer {k} that says " + ("yes" if k % 3 else "nothing")) for k in range(200)]
+    cells = confusion_cells(pairs(spark, rows))
+    assert cells.count() <= 4 and sum(r["n"] for r in cells.collect()) == 200
+    from tuneprep.operators import scoring
+
+    plans, written = [], scoring._written
+    scoring._written = lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or written(df, name)
+    try:
+        confusion_cells(pairs(spark, rows))
+    finally:
+        scoring._written = written
+    by_name = dict(plans)
+    moved = [line for line in by_name["cells"].splitlines() if "Exchange" in line]
+    assert moved and not any("answer" in line or "model_output" in line for line in moved)
+
+
 def test_class_named_other_and_inside_words(spark):
     rows = [("other", "", "other"), ("a b", "", "x a bc"), ("a b", "", "zzz")]
-    cells = confusion_cells(answer_classes(pairs(spark, rows)))
+    cells = confusion_cells(pairs(spark, rows))
     matrix = {(r["actual"], r["predicted"], r["is_other"]): r["n"] for r in confusion_matrix(cells).collect()}
     assert matrix[("other", "other", False)] == 1 and matrix[("other", "other", True)] == 0
     assert class_summary(per_class(cells)).first()["unclassified"] >= 1
@@ -79,7 +95,7 @@ def test_class_named_other_and_inside_words(spark):
 @pytest.mark.parametrize("classes, open_", [(1, True), (2, False), (15, False), (16, True), (400, True)])
 def test_class_gate(spark, classes, open_):
     df = spark.range(800).select(F.lit("r").alias("run_id"), "id", F.concat(F.lit("c"), F.col("id") % classes).alias("golden"), F.lit("x").alias("model_output"))
-    assert class_lists(answer_classes(df)).isEmpty() is open_
+    assert class_lists(df).isEmpty() is open_
 
 
 def test_compare_and_filter(spark):

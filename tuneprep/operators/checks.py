@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tuneprep.functions.text import strip
 from tuneprep.operators.formatting import text_of
+from tuneprep.operators.scoring import hash128
 
 # Limits of a label column, and the marks of a reasoning trace.
 MAX_LABELS = 12
@@ -20,8 +21,6 @@ TARGET_COLUMNS = ("completion", "chosen", "text")
 
 
 LABEL_TYPE = "struct<column:string,value:string,is_integer:boolean,number:decimal(38,0)>"
-# A sketch has to exceed the limit this many times over to rule a column out.
-SKETCH_MARGIN = 6
 
 
 def _label(df: DataFrame, name: str) -> Column:
@@ -51,13 +50,13 @@ def _label(df: DataFrame, name: str) -> Column:
 def label_values(df: DataFrame, columns: Sequence[str], max_labels: int = MAX_LABELS) -> DataFrame:
     """(column, values, is_integer) of the columns with 2..max_labels different values.
 
-    All rows count. A sketch of the number of values leaves out the columns that exceed the
-    limit several times over, so that free text is never shuffled. The values of the others
-    are counted exactly, in one pass, with at most max_labels + 1 per column.
+    All rows count. Different values are counted by their hashes, so that free text is not
+    shuffled; then the values of the columns with few of them are read.
     """
-    sketches = [F.approx_count_distinct(_label(df, c)["value"]).alias(c) for c in columns]
-    seen = df.select([F.col(f"`{c}`") for c in columns]).agg(*sketches).first()
-    few = [c for c in columns if seen[c] <= SKETCH_MARGIN * max_labels]
+    hashes = [F.struct(F.lit(k).alias("k"), hash128(_label(df, c)["value"]).alias("h")) for k, c in enumerate(columns)]
+    hashed = df.select(F.explode(F.array(*hashes)).alias("x")).select("x.*").where("h is not null").distinct()
+    counts = {r["k"]: r["count"] for r in hashed.groupBy("k").count().collect()}
+    few = [c for k, c in enumerate(columns) if counts.get(k, 0) <= max_labels]
     labels = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), _label(df, c)) for c in few] or [F.lit(None).cast(LABEL_TYPE)])
     found = df.select(F.explode(labels).alias("l")).where(F.col("l").isNotNull()).select("l.*").distinct()
     order = [F.col("number").asc_nulls_last(), F.col("value")]

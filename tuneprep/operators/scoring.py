@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import (
@@ -20,11 +20,10 @@ from tuneprep.functions.text import (
     substring_match,
     with_percentages,
 )
+from tuneprep.session import scratch_dir
 
 STATUSES = ("PRESERVED", "FIXED", "REGRESSED", "PERSISTENT_FAIL")
 MAX_CLASSES = 15
-# A sketch has to exceed the limit this many times over to rule a run out.
-SKETCH_MARGIN = 6
 OTHER = "other"
 
 
@@ -146,57 +145,56 @@ def migration_matrix(scored: DataFrame, by: Sequence[str] = ("run_id",)) -> Data
     return with_percentages(df, "total", **{f"{n}_pct": n for n in [*names.values(), "net_gain"]})
 
 
-def answer_classes(
-    pairs: DataFrame,
-    by: str = "run_id",
-    gold: str = "golden",
-    prediction: str = "model_output",
-    key: str = "id",
-    max_classes: int = MAX_CLASSES,
-) -> DataFrame:
-    """Counts of distinct (gold, prediction) after normalisation, for runs that may have classes.
-
-    Everything about classes depends on these counts only; a class task has few of them.
-    Runs of free text, whose answers would all have to be shuffled to be counted, are left
-    out first by a sketch of their number of gold answers. It has to exceed the limit
-    several times over for that, so no class task is lost; ``class_lists`` decides exactly.
-    """
-    actual = normalize_answer(gold).alias("actual")
-    sketch = pairs.select(by, actual).groupBy(by).agg(F.approx_count_distinct("actual").alias("k"))
-    few = sketch.where(F.col("k") <= SKETCH_MARGIN * max_classes).select(by)
-    norm = pairs.join(few, by, "left_semi").select(
-        by, F.col(key).alias("__id"), actual, normalize_answer(prediction).alias("answer")
-    )
-    return norm.groupBy(by, "actual", "answer").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
+def hash128(value: Column) -> Column:
+    """16 bytes that stand for a text where texts are only counted."""
+    return F.unhex(F.md5(value))
 
 
-def class_lists(counts: DataFrame, by: str = "run_id", max_classes: int = MAX_CLASSES) -> DataFrame:
+def class_lists(pairs: DataFrame, by: str = "run_id", gold: str = "golden", max_classes: int = MAX_CLASSES) -> DataFrame:
     """The gold classes of every run that has 2..max_classes of them.
 
-    At most max_classes + 1 classes per run are looked at, so open-ended gold answers do
-    not build a large set anywhere.
+    Distinct gold answers are counted by their hashes, so free text is not moved. The texts
+    are then read for the runs that have few; there are at most max_classes of a run. Both
+    results are written, so that Spark knows how small they are.
     """
-    gold = counts.select(by, "actual").distinct()
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("actual"))
-    few = gold.withColumn("__rank", rank).where(F.col("__rank") <= max_classes + 1)
-    lists = few.groupBy(by).agg(F.sort_array(F.collect_list("actual")).alias("classes"))
-    return lists.where(F.size("classes").between(2, max_classes))
+    actual = normalize_answer(gold).alias("actual")
+    hashes = pairs.select(by, actual).select(by, hash128(F.col("actual")).alias("hash")).distinct()
+    few = hashes.groupBy(by).agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(2, max_classes)).select(by)
+    few = _written(few, "class-runs")
+    found = pairs.select(by, actual).join(few, by, "left_semi").distinct()
+    return _written(found.groupBy(by).agg(F.sort_array(F.collect_list("actual")).alias("classes")), "classes")
 
 
-def confusion_cells(counts: DataFrame, by: str = "run_id", max_classes: int = MAX_CLASSES) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def confusion_cells(
+    pairs: DataFrame,
+    by: str = "run_id",
+    gold: str = "golden",
+    prediction: str = "model_output",
+    key: str = "id",
+    max_classes: int = MAX_CLASSES,
+) -> DataFrame:
     """Counts per (actual, predicted); ``predicted`` is NULL when no single class is named.
 
-    A prediction is its class when it equals one, or the only class it contains.
+    A prediction is its class when it equals one, or the only class it contains. Answers are
+    mapped to classes where they are read: a task passes on at most one row for each pair of
+    classes of a run, and no answer.
     """
-    joined = counts.join(class_lists(counts, by, max_classes), by)
+    classes = class_lists(pairs, by, gold, max_classes)
+    norm = pairs.join(classes, by).select(
+        by, F.col(key).alias("__id"), normalize_answer(gold).alias("actual"), normalize_answer(prediction).alias("answer"), "classes"
+    )
     answer = F.col("answer")
     named = F.filter("classes", lambda c: (c != "") & F.contains(answer, c))
     predicted = F.when(F.array_contains("classes", answer), answer).when(F.size(named) == 1, named[0])
-    return (
-        joined.withColumn("predicted", predicted)
-        .groupBy(by, "actual", "predicted")
-        .agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.first("classes").alias("classes"))
-    )
+    cells = norm.select(by, "__id", "actual", predicted.alias("predicted")).groupBy(by, "actual", "predicted")
+    counted = cells.agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
+    return _written(counted.join(classes, by), "cells")
 
 
 def confusion_matrix(cells: DataFrame, by: str = "run_id") -> DataFrame:

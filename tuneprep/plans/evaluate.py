@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from tuneprep.operators.board import leaderboard_rows
 from tuneprep.operators.scoring import (
-    answer_classes,
     class_summary,
     confusion_cells,
     confusion_matrix,
@@ -36,7 +35,7 @@ class Evaluation:
 def evaluate(pairs: DataFrame) -> Evaluation:
     """Score pairs (run_id, id, golden, baseline_output, model_output)."""
     scored = score_answers(pairs)
-    cells = confusion_cells(answer_classes(pairs))
+    cells = confusion_cells(pairs)
     classes = per_class(cells)
     return Evaluation(
         scored=scored,
@@ -66,7 +65,7 @@ def evaluate_runs(
     pairs = pair_answers(samples, baseline, tuned)
     score_answers(pairs).write.mode("overwrite").parquet(table)
     scored = spark.read.parquet(table)
-    cells = confusion_cells(answer_classes(scored))
+    cells = confusion_cells(scored)
     classes = per_class(cells)
     result = Evaluation(
         scored, eval_summary(scored), migration_matrix(scored), confusion_matrix(cells), classes, class_summary(classes)

@@ -9,7 +9,6 @@ from tuneprep.functions.text import exact_match, normalize_answer, substring_mat
 from tuneprep.operators.board import leaderboard_rows, ranked
 from tuneprep.operators.generate import missing_prompts
 from tuneprep.operators.scoring import (
-    answer_classes,
     by_status,
     class_lists,
     class_summary,
@@ -73,7 +72,7 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusion_cells(answer_classes(class_pairs(spark, sf_dir)))
+    return confusion_cells(class_pairs(spark, sf_dir))
 
 
 def confusion_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,7 @@ def class_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = class_pairs(spark, sf_dir).withColumn("run_id", F.concat(F.lit("lang/"), "run_id"))
     texts = eval_pairs(spark, sf_dir).withColumn("run_id", F.concat(F.lit("text/"), "run_id")).select(labels.columns)
     both = labels.unionByName(texts)
-    runs = both.select("run_id").distinct().join(class_lists(answer_classes(both)), "run_id", "left")
+    runs = both.select("run_id").distinct().join(class_lists(both), "run_id", "left")
     return runs.select("run_id", F.coalesce(F.size("classes"), F.lit(0)).alias("n_classes"))
 
 
