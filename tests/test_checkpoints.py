@@ -141,3 +141,14 @@ def test_log_lines(spark):
     series = {(r["step"], r["metric"]): r["value"] for r in loss_series(df).collect()}
     assert series == {(100, "train"): 1.45, (200, "val"): 1.9, (500, "val"): 0.75, (500, "train"): 0.5}
     assert df.where(is_milestone(F.col("line"))).count() == 3
+
+
+@pytest.mark.parametrize("hot_rows, scans", [(5_000_000, 2), (3, 4)])
+def test_plans_of_curves_read_little(spark, tmp_path, hot_rows, scans):
+    saved = [("r", 100 * k) for k in range(1, 9)]
+    losses = [("r", 100 * k, "val", abs(5 - k) + 1.0) for k in range(1, 9)]
+    spark.createDataFrame(saved, "run_id string, step long").write.parquet(str(tmp_path / "saved"))
+    spark.createDataFrame(losses, "run_id string, step long, metric string, value double").write.parquet(str(tmp_path / "losses"))
+    found = pre_overfit_checkpoint(spark.read.parquet(str(tmp_path / "saved")), spark.read.parquet(str(tmp_path / "losses")), hot_rows=hot_rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= scans and plan.count("Exchange") <= 4 and found.first()["step"] == 500

@@ -115,25 +115,14 @@ def pre_overfit_checkpoint(
     stop = F.coalesce(rebound, F.lit(False)) | (F.col("rise") & F.coalesce(F.col("prev_rise"), F.lit(False)))
     runs.with_columns({"stop": stop})
 
-    def per_run(df: DataFrame, **aggregates: Column) -> DataFrame:
-        return df.groupBy(run).agg(*[a.alias(n) for n, a in aggregates.items()])
-
-    first_loss = F.min_by("val_loss", "step")
-    ends = per_run(runs.df, stop_step=F.min(F.when(F.col("stop"), F.col("step"))), first_loss=first_loss)
-    runs.attach(ends)
+    runs.of_key({"stop_step": F.min(F.when(F.col("stop"), F.col("step"))), "first_loss": F.min_by("val_loss", "step")})
     read = F.col("stop_step").isNull() | (F.col("step") < F.col("stop_step"))
-    lowest = F.min(F.when(read, F.struct(F.col("val_loss").alias("loss"), F.col("step").alias("step"))))
-    best = per_run(runs.df, lowest=lowest, first_loss=F.first("first_loss"))
+    runs.of_key({"lowest": F.min(F.when(read, F.struct(F.col("val_loss").alias("loss"), F.col("step").alias("step"))))})
     drop = F.greatest(F.lit(0.0), F.col("first_loss") - F.col("lowest.loss"))
-    best = best.select(
-        run,
-        F.col("lowest.step").alias("best_step"),
-        (F.col("lowest.loss") + F.greatest(F.lit(KNEE_ABSOLUTE), F.lit(KNEE_DROP) * drop)).alias("threshold"),
-    )
-    runs.attach(best)
-    knee = (F.col("step") <= F.col("best_step")) & (v <= F.col("threshold"))
+    threshold = F.col("lowest.loss") + F.greatest(F.lit(KNEE_ABSOLUTE), F.lit(KNEE_DROP) * drop)
+    knee = (F.col("step") <= F.col("lowest.step")) & (v <= threshold)
     picked = F.min(F.when(knee, F.struct(F.col("step").alias("step"), v.alias("loss"))))
-    return per_run(runs.df, k=picked).select(run, "k.step", "k.loss")
+    return runs.df.groupBy(run).agg(picked.alias("k")).select(run, "k.step", "k.loss")
 
 
 def final_checkpoint(checkpoints: DataFrame, run: str = "run_id") -> DataFrame:

@@ -2,7 +2,8 @@
 
 A window over a key runs in one task. When some key has more than ``hot_rows`` rows, its
 range is cut into pieces of about equal size, the window runs per piece, and what earlier
-pieces contribute comes from one summary row per piece. Both ways give the same values.
+pieces contribute comes from one summary row per piece. Both ways give the same values. Cut
+rows are written after each step, so a plan reads the input once and then one written table.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuneprep.session import scratch_dir
+
 HOT_ROWS = 5_000_000
 PIECES = 256
 
@@ -42,7 +45,13 @@ class OrderedRuns:
         bounds = df.join(hot, self.key, "left_semi").groupBy(self.key).agg(quantiles.alias("__bounds"))
         cut = df.join(bounds, self.key, "left")
         below = F.size(F.filter("__bounds", lambda b: b < F.col(self.order)))
-        return cut.withColumn("__piece", F.when(F.col("__bounds").isNull(), 0).otherwise(below)).drop("__bounds")
+        return self._written(cut.withColumn("__piece", F.when(F.col("__bounds").isNull(), 0).otherwise(below)).drop("__bounds"))
+
+    @staticmethod
+    def _written(df: DataFrame) -> DataFrame:
+        path = scratch_dir(df.sparkSession, "ordered")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     @property
     def _scope(self) -> list[str]:
@@ -57,7 +66,7 @@ class OrderedRuns:
             pieces = self.df.groupBy(*self._scope).agg(*[c.alias(f"__{n}") for n, c in summary.items()])
             earlier = Window.partitionBy(self.key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
             carried = pieces.select(*self._scope, *[combine(F.col(f"__{n}")).over(earlier).alias(f"__{n}") for n in summary])
-            df = df.join(carried, self._scope, "left")
+            df = self._written(df.join(carried, self._scope, "left"))
         self.df = df
         return self
 
@@ -94,11 +103,18 @@ class OrderedRuns:
         self.df = self.df.withColumns(columns)
         return self
 
-    def attach(self, summary: DataFrame) -> "OrderedRuns":
-        """Join one row per key. A cut key is joined per piece, so it stays cut."""
+    def of_key(self, values: dict[str, Column]) -> "OrderedRuns":
+        """Columns with an aggregate over all rows of the key.
+
+        They are window values over the partitioning that is there already; for a cut key
+        they are added up per piece first.
+        """
         if self.chunked:
-            summary = self.df.select(*self._scope).distinct().join(summary, self.key)
-        self.df = self.df.join(summary, self._scope)
+            summary = self.df.groupBy(self.key).agg(*[v.alias(n) for n, v in values.items()])
+            self.df = self._written(self.df.join(summary, self.key))
+        else:
+            window = Window.partitionBy(self.key)
+            self.df = self.df.withColumns({n: v.over(window) for n, v in values.items()})
         return self
 
     def result(self) -> DataFrame:
