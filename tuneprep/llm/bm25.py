@@ -20,7 +20,7 @@ import numpy as np
 
 _WORD = re.compile(r"\w+")
 #: Items of one block.
-BLOCK = 8
+BLOCK = 4
 K1, B = 1.2, 0.75
 #: Rounding that bounds allow for.
 SLACK = 1e-5
@@ -80,7 +80,7 @@ class Index:
     def _wand(self, block: int, terms: list[int], least: float) -> list[tuple[int, float]]:
         lists = self.postings[block]
         # Per term: its postings in the block, its place in them, its maximum.
-        cursors = [[lists[t], 0, max(v for _, v in lists[t])] for t in terms if t in lists]
+        cursors = [[lists[t], 0, self.maxima[t, block].item()] for t in terms if t in lists]
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0][c[1]][0])

@@ -24,7 +24,7 @@ from tuneprep.llm.bm25 import Index, words_of
 #: Words of a passage, and of the part of an item that is indexed as one; passages overlap by half.
 PASSAGE, PART = 128, 64
 #: Bytes of test items of one group: what is sent to a task at once.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: Least BM25 score, where 1 is the item's own text.
 RETRIEVED = 0.5
 #: Part of the question's, and of the answer's, runs of words that must occur, and their length.
