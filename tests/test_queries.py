@@ -9,7 +9,10 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 SQL = {name: sql for family in entry.FAMILIES for name, sql in family.SQL.items()}
 QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.EXTRA_QUERIES}
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tuneprep.functions.answers import clean_answer, word_count_tokens
 from tuneprep.functions.text import round_half_even
-from tuneprep.session import widen
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -22,12 +21,15 @@ def generate_answers(
     keys: Sequence[str] = ("id",),
     prompt: str = "prompt",
     batch_size: int = 64,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(keys, output, n_tokens, seconds) for every prompt.
 
     ``make_generate`` runs once per task and gives the function that answers a list of
     prompts. A failure fails the job, and so does a wrong number of answers: there are no
-    placeholder answers.
+    placeholder answers. Prompts are dealt to ``tasks`` tasks, by default twice as many as
+    there are cores and at least the shuffle partitions: an answer costs far more than moving
+    its prompt.
     """
     keys = list(keys)
     schema = prompts.select(*keys).schema.add("output", "string").add("seconds", "double")
@@ -44,7 +46,9 @@ def generate_answers(
                 share = (time.perf_counter() - began) / len(part)
                 yield part[keys].assign(output=outputs, seconds=share)
 
-    raw = widen(prompts.select(*keys, prompt)).mapInPandas(answer, schema)
+    spark = prompts.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    raw = prompts.select(*keys, prompt).repartition(tasks).mapInPandas(answer, schema)
     cleaned = raw.withColumn("output", clean_answer("output"))
     return cleaned.withColumn("n_tokens", word_count_tokens("output")).select(*keys, "output", "n_tokens", "seconds")
 

@@ -35,8 +35,9 @@ UNREADABLE = {".duckdb": "DuckDB", ".ddb": "DuckDB", ".lance": "Lance"}
 WEIGHTS = (".safetensors", ".bin", ".pt")
 SPLIT_FILES = ("train", "valid", "validation", "val", "test", "dev")
 SPLIT_SUFFIXES = (
-    ".jsonl .parquet .pq .parq .arrow .json .csv .tsv .tab .txt .text .sqlite .db .sqlite3 .tar .tar.gz .tgz"
-).split()
+    ".jsonl", ".parquet", ".pq", ".parq", ".arrow", ".json", ".csv", ".tsv", ".tab", ".txt", ".text",
+    ".sqlite", ".db", ".sqlite3", ".tar", ".tar.gz", ".tgz",
+)
 PARQUET_FOLDERS = ("data", "train", "test", "valid", "validation", "dev")
 UTF_MARKS = {
     b"\xef\xbb\xbf": "utf-8-sig",

@@ -39,8 +39,9 @@ SPLIT_FOLDERS = {
     "evaluation": "test",
 }
 FIELD_NAMES = (
-    "prompt completion response instruction input output chosen rejected label query answer system text context"
-).split()
+    "prompt", "completion", "response", "instruction", "input", "output", "chosen", "rejected", "label",
+    "query", "answer", "system", "text", "context",
+)
 TEXT_SUFFIXES = ("txt", "text")
 
 ROWS_PER_BATCH = 2_000
