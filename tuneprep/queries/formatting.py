@@ -27,8 +27,8 @@ from tuneprep.operators.splitting import (
     split_counts,
     split_samples,
 )
-from tuneprep.plans.convert import preview
-from tuneprep.plans.mapping import ColumnMapping, Format, detect_format, detect_mapping, validate_mapping
+from tuneprep.plans.convert import inspect, preview
+from tuneprep.plans.mapping import ColumnMapping, Format, detect_format, detect_mapping
 from tuneprep.queries.fixtures import table
 from tuneprep.queries.sql import BLANK_CHARS, normalize, quote, strip
 from tuneprep.session import widen
@@ -335,17 +335,12 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inspect_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per split with the columns and the formats that they fit."""
-    df = _split_documents(spark, sf_dir)
-    columns = [c for c in df.columns if c != SPLIT]
-    fits = [f.value for f in Format if not validate_mapping(f, detect_mapping(f, columns), columns)]
-    suggested, _ = detect_format(columns)
-    return split_counts(df).select(
-        F.col(SPLIT).alias("split"),
-        "records",
-        F.lit(",".join(columns)).alias("columns"),
-        F.lit(",".join(fits)).alias("fits"),
-        F.lit(suggested.value).alias("suggested"),
-    )
+    report = inspect(Dataset(_split_documents(spark, sf_dir), "documents"))
+    columns = ",".join(report["columns"])
+    fits = ",".join(name for name, found in report["suggested_mappings"].items() if found["is_valid"])
+    suggested, _ = detect_format(report["columns"])
+    rows = [(name, n, columns, fits, suggested.value) for name, n in report["split_counts"].items()]
+    return spark.createDataFrame(rows, "split string, records long, columns string, fits string, suggested string")
 
 
 def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:

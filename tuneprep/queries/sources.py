@@ -184,6 +184,20 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.join(written, "split").join(gold, "split", "left")
 
 
+def keep_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is a callable and has splits of its own, converted with them."""
+
+    def labelled(session: SparkSession) -> DataFrame:
+        names = F.when(F.col("lang") == "en", "Train").when(F.col("lang") == "fr", "eval").otherwise("dev")
+        return _documents(session, sf_dir).select("doc_id", "text", names.alias(SPLIT))
+
+    out, counted = _folder(spark, "kept"), {}
+    report = convert(spark, labelled, out, Format.TEXT, ColumnMapping(text_col="text"), keep_splits=True, progress=counted.__setitem__)
+    said = spark.createDataFrame([(name, n, counted[name]) for name, n in report["splits"].items()], "split string, records long, progress long")
+    written = load(spark, out).df.groupBy(F.col(SPLIT).alias("split")).agg(F.count(F.lit(1)).alias("read_back"))
+    return said.join(written, "split")
+
+
 def jsonl_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines between blank, cut-off, array and number lines, and a field that comes late."""
     docs = _documents(spark, sf_dir)
@@ -191,7 +205,7 @@ def jsonl_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     junk = F.array(good, F.lit("   "), F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string")), F.lit('[{"other": 5}]'), F.lit("7"))
     folder = _folder(spark, "dirty")
     docs.select(F.explode(junk).alias("value")).write.text(folder)
-    return read_jsonl(spark, [folder]).select("doc_id", "text", "lang")
+    return read_jsonl(spark, [folder])
 
 
 def split_dir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,6 +322,7 @@ QUERIES = {
     "jsonl_roundtrip": jsonl_roundtrip,
     "jsonl_dirty": jsonl_dirty,
     "manifest_counts": manifest_counts,
+    "keep_splits": keep_splits,
     "split_dir_scan": split_dir_scan,
     "mixed_dir_scan": mixed_dir_scan,
     "eval_samples_file": eval_samples_file,
@@ -340,6 +355,8 @@ SQL = {
     "jsonl_roundtrip": f"""WITH {_SPLIT_DOCS} SELECT to_json([{{'role': 'user', 'content': {strip('text')}}},
         {{'role': 'assistant', 'content': source || chr(10) || chr(10) || lang}}])::VARCHAR AS messages, split FROM split_docs""",
     "jsonl_dirty": "SELECT doc_id, text, CASE WHEN doc_id % 2 = 1 THEN lang END AS lang FROM documents",
+    "keep_splits": """SELECT CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'test' ELSE 'valid' END AS split, count(*) AS records,
+        count(*) AS progress, count(*) AS read_back FROM documents GROUP BY 1""",
     "manifest_counts": f"""WITH {_SPLIT_DOCS} SELECT split, count(*) AS records, (SELECT count(*) FROM documents) AS total, true AS has_bytes,
         count(*) AS read_back, CASE WHEN split = 'test' THEN count(*) END AS gold FROM split_docs GROUP BY split""",
     "split_dir_scan": f"""SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic, {_LABEL_SPLIT.format(valid='validation')} AS split FROM labels""",

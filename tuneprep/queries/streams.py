@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.operators.generate import generate_answers
+from tuneprep.operators.generate import generate_answers, generation_speed
 from tuneprep.operators.scoring import score_answers
 from tuneprep.plans.mapping import ColumnMapping, Format
 from tuneprep.queries.fixtures import eval_pairs, log_lines, table
@@ -123,7 +123,15 @@ def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_answers(docs, make_generate, keys=["doc_id"]).select("doc_id", "output", "n_tokens")
 
 
+def speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per second by language, at half a second an answer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("prompt"))
+    answers = generate_answers(docs, lambda: lambda prompts: [f"assistant: {p}</s>" for p in prompts], keys=["lang"])
+    return generation_speed(answers.withColumn("seconds", F.lit(0.5)), ["lang"])
+
+
 QUERIES = {
+    "generation_speed": speed,
     "stream_format": stream_format,
     "stream_metrics": stream_metrics,
     "stream_milestones": stream_milestones,
@@ -134,6 +142,9 @@ QUERIES = {
 }
 
 SQL = {
+    "generation_speed": f"""WITH a AS (SELECT lang, greatest(1, floor(len({tokens('text')}) * 1.3::DOUBLE))::BIGINT AS n FROM documents)
+        SELECT lang, sum(n)::BIGINT AS n_tokens, count(*) * 0.5::DOUBLE AS seconds, round_even(sum(n) / (count(*) * 0.5::DOUBLE), 1) AS tokens_per_sec
+        FROM a GROUP BY lang""",
     "stream_format": f"SELECT doc_id::VARCHAR AS prompt, {strip('text')} AS completion, (SELECT count(*) FROM documents) AS counted FROM documents",
     "stream_metrics": f"""WITH {LOG_LINES} SELECT run_id::VARCHAR AS run_id, step, CASE WHEN event_type = 'click' THEN v END AS train_loss,
         CASE WHEN event_type = 'view' THEN v END AS val_loss FROM log_lines WHERE event_type IN ('view', 'click', 'error')""",
