@@ -236,13 +236,9 @@ def eval_samples_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     pair = F.to_json(F.struct(F.concat("lang", "source").alias("prompt"), F.col("text").alias("completion")))
     folder = _folder(spark, "testset")
-    lines = docs.select("doc_id", F.explode(F.array(pair, F.lit(""), F.lit("{"))).alias("value"))
-    lines.sortWithinPartitions("doc_id").select("value").write.text(folder)
-    samples = read_eval_samples(spark, [folder])
-    return samples.groupBy().agg(
-        F.count(F.lit(1)).alias("samples"), F.min("id").alias("first"), F.count_if(F.col("id") % 3 == 1).alias("on_pair_lines"),
-        F.countDistinct("golden").alias("goldens"), F.sum(F.length("prompt")).alias("prompt_chars"),
-    )
+    lines = docs.select("doc_id", F.posexplode(F.array(pair, F.lit(""), F.lit("{"))).alias("nth", "value"))
+    lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "nth").select("value").write.text(folder)
+    return read_eval_samples(spark, [folder]).select("id", "prompt", "golden")
 
 
 def training_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,8 +357,7 @@ SQL = {
         count(*) AS read_back, CASE WHEN split = 'test' THEN count(*) END AS gold FROM split_docs GROUP BY split""",
     "split_dir_scan": f"""SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic, {_LABEL_SPLIT.format(valid='validation')} AS split FROM labels""",
     "mixed_dir_scan": "SELECT doc_id, quality::BIGINT AS quality FROM labels",
-    "eval_samples_file": """SELECT count(*) AS samples, 1::BIGINT AS first, count(*) AS on_pair_lines, count(DISTINCT text) AS goldens,
-        sum(length(lang) + length(source))::BIGINT AS prompt_chars FROM documents""",
+    "eval_samples_file": """SELECT 3 * (row_number() OVER (ORDER BY doc_id) - 1) + 1 AS id, lang || source AS prompt, text AS golden FROM documents""",
     "training_log_scan": f"""WITH {LOG_LINES} SELECT run_id, step, CASE WHEN event_type = 'click' THEN 'train' ELSE 'val' END AS metric,
         arg_max(v, line_no) AS value FROM log_lines WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL""",
     "eval_artifacts": f"""WITH {SUMMARY} SELECT run_id, total_samples, exact_match_pct, avg_word_f1, avg_word_f1 AS board_f1,
