@@ -77,14 +77,10 @@ def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document, by near equal bytes."""
-    return shard_rows(_documents(spark, sf_dir), sharding.SHARDS).select(
-        "doc_id",
-        "size",
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    # The checksum is taken before rows move, so no text moves with them.
+    docs = _documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    return shard_rows(docs, sharding.SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
