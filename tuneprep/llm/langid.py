@@ -116,7 +116,7 @@ def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
     return rows.mapInArrow(_predictor(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = 0.2) -> DataFrame:
     """The rows of ``docs`` whose language is found with a score of at least ``least``.
 
     A text without a letter has no language; one below ``least`` resembles none of them more
