@@ -97,6 +97,14 @@ def test_hot_group_of_edited_copies_loses_nothing(spark):
     assert got == brute(rows, 3, 85)
 
 
+def test_join_and_bit_map_give_the_same(spark, monkeypatch):
+    rows = corpus(7, 80)
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = sorted(map(tuple, near_duplicates(df, 3, 85).collect()))
+    monkeypatch.setattr("tuneprep.llm.minhash.FILTER_MEMBERS", 0)
+    assert sorted(map(tuple, near_duplicates(df, 3, 85).collect())) == one
+
+
 def test_index_reaches_every_pair_within_the_radius():
     for percent in (80, 85, 95):
         borders, radius = chunks_for(radius_for(percent)), radius_for(percent)

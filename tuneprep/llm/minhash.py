@@ -12,12 +12,11 @@ every pair within ``radius``; nothing is capped.
 
 **Hot buckets.** What is asked for are connected classes, not pairs. First each bucket is
 compared with one centre, which for a group of copies is the text that occurs most often: a
-bucket of n classes gives n pairs. Then only classes that are still apart may be paired, and of
-these only those whose sets share one of their rarest shingles (prefix filter: two sets of
-similarity s share one of the first ``n - ceil(s n) + 1`` shingles of any common order). A text
-that was edited too much for any link has rare shingles of its own, so it is paired with
-nothing, however large its bucket is. Pairs beyond ``radius`` are dropped, the rest are
-confirmed on the full sets.
+bucket of n classes gives n pairs. All buckets of one centre are then one group, in which only
+classes outside the group's largest component may still have links to find. Those are cut
+into blocks and compared with the group, which is cut into blocks as well: a task compares one
+block with another, first by signatures, then, what is within the radius, by whole sets, and
+returns a spanning forest of the links. No pairs are listed, and no task gets a whole group.
 """
 
 from __future__ import annotations
@@ -29,16 +28,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tuneprep.llm.components import components
-from tuneprep.llm.stage import written
+from tuneprep.llm.covertree import forest
+from tuneprep.llm.stage import is_empty, written
 from tuneprep.llm.words import mix, shingle_set, word_hashes
 
 SLOTS = 64
 BITS = 16
 #: Accepted probability that a pair at the least similarity lies beyond the radius.
 MISS = 1e-6
+#: Classes outside the largest component, and classes of the group, that a task compares.
+BLOCK, GROUP_BLOCK = 256, 1024
+#: Distinct shingles that are columns of a matrix at once.
+COLUMNS = 4096
+#: Bits of the map of classes that are in some bucket, and the most classes for which it is used.
+FILTER_BITS, FILTER_MEMBERS = 1 << 24, 1 << 22
 #: Shingles hashed at once for the minima of a long text.
 PIECE = 1 << 12
 
@@ -153,16 +158,114 @@ def _linker(percent: int):
     return link
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each set."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            n = part.column("n").to_numpy()
-            shingles = np.frombuffer(b"".join(part.column("shingles").to_pylist()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column("rep").to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(shingles)], names=["rep", "n", "shingle"]
-            )
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        starts = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, [len(values)]])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if held and tuple(values[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(values[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_BLOCK_KEYS = ["centre", "block", "part"]
+
+
+def _flagger(radius: int, percent: int):
+    """Of the rows of two blocks those that are within the radius of one of another component."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, _BLOCK_KEYS):
+            rep, comp, n, minor = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "minor"))
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
+            left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+            centre = rep == table.column("centre")[0].as_py()
+            hit = np.zeros(len(rep), dtype=bool)
+            for k in range(0, len(left) if len(right) else 0, 16):
+                one = left[k : k + 16]
+                near = (sigs[one][:, None, :] != sigs[right][None, :, :]).sum(axis=2) <= radius
+                near &= comp[one][:, None] != comp[right][None, :]
+                near &= 100 * np.minimum(n[one][:, None], n[right]) >= percent * np.maximum(n[one][:, None], n[right])
+                near &= ~(centre[one][:, None] | centre[right][None, :])
+                hit[one] |= near.any(axis=1)
+                hit[right] |= near.any(axis=0)
+            yield from table.select([*_BLOCK_KEYS, "rep", "comp", "minor"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return flag
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set of one list with each of the other."""
+    both = np.zeros((len(one), len(two)), dtype=np.float32)
+    columns = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
+    for k in range(0, len(columns), COLUMNS):
+        part = columns[k : k + COLUMNS]
+        sides = []
+        for sets in (one, two):
+            side = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for row, own in zip(side, sets, strict=True):
+                at = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                row[at[part[at] == own]] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    return both
+
+
+def _block_linker(percent: int):
+    """Links between two blocks, as a spanning forest."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, _BLOCK_KEYS):
+            rep, comp, minor = (table.column(c).to_numpy() for c in ("rep", "comp", "minor"))
+            sets = [np.frombuffer(raw, dtype=np.uint64) for raw in table.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+            if not (len(left) and len(right)):
+                continue
+            both = _overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+            similar = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+            x, y = np.nonzero(similar & (comp[left][:, None] != comp[right][None, :]))
+            ends, roots = forest(left[x], right[y], len(rep))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[ends]), pa.array(rep[roots])], names=["a", "b"])
+
+    return link
+
+
+def _sets(texts: DataFrame, signed: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """Rows (rep, shingles) of at least the members.
+
+    Up to FILTER_MEMBERS of them a bit map of FILTER_BITS bits, in which each member's hash is
+    set, reaches every task, and texts are not moved; a few others pass it, which does no harm.
+    More members, or ids that repeat, take a join.
+    """
+    schema = "rep long, shingles binary"
+    repeated = signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    if members.count() > FILTER_MEMBERS or not is_empty(repeated):
+        own = texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates()
+        return written(own.mapInArrow(_setter(size), schema), "sets")
+    places = members.select((F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1).alias("place"))
+    maps = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for row in maps.toLocalIterator():
+        own = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), bitorder="little").astype(bool)
+        bits[(row["bucket"] - 1) * len(own) :][: len(own)] = own
+    packed, make = np.packbits(bits).tobytes(), _setter(size)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        yield from make(b.filter(pa.array(known[b.column("place").to_numpy()])) for b in batches)
+
+    placed = texts.where("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    return written(placed.mapInArrow(passing, schema), "sets")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -201,11 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     buckets = written(met.join(centres, "key").select("key", "rep", "centre"), "buckets")
 
-    members = buckets.select("rep").distinct()
-    sets = written(
-        texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates().mapInArrow(_setter(size), "rep long, shingles binary"),
-        "sets",
-    )
+    sets = _sets(texts, signed, buckets.select("rep").distinct(), size)
     short = classes.select("rep", "n", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -219,34 +318,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = written(confirmed(stars), "links")
     found = written(components(links, "a", "b"), "components")
 
-    # Classes in a bucket with a class of another component.
+    # Groups with classes of several components.
     of = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    labelled = buckets.select("key", "rep").join(of, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    labelled = written(labelled, "labelled")
-    apart = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = written(labelled.join(apart, "key", "left_semi").select("rep", "comp").distinct(), "left")
-
-    whole = sets.join(left, "rep", "left_semi").withColumn("n", F.expr("octet_length(shingles) div 8"))
-    tokens = written(whole.mapInArrow(_tokens, "rep long, n long, shingle long"), "tokens")
-    common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # Shingles of one set come first in the order and meet nothing, so only their number is needed.
-    met = tokens.join(common, "shingle")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("rep"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = met.withColumns({"place": place, "total": total}).where(F.col("place") + F.col("n") - F.col("total") <= length)
-    prefix = written(prefix.select("shingle", "rep", "n").join(left, "rep"), "prefix")
-
-    # In each shingle's list the largest component's rows need not meet each other.
-    sizes = prefix.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("many"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("many", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    listed = prefix.join(main.select("shingle", F.col("top.comp").alias("main")), "shingle")
-    minor = listed.where("comp != main").select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"))
-    other = listed.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("comp_a") != F.col("comp_b"))
-    rest = minor.join(other, "shingle").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(rest.join(seen, ["a", "b"], "left_anti"))
+    everyone = buckets.select("centre", "rep").distinct().join(of, "rep", "left")
+    everyone = written(everyone.select("centre", "rep", F.coalesce("comp", "rep").alias("comp")), "groups")
+    main = (
+        everyone.groupBy("centre", "comp")
+        .agg(F.count(F.lit(1)).alias("many"))
+        .groupBy("centre")
+        .agg(F.max(F.struct("many", "comp")).alias("top"), F.sum("many").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        .where("kinds > 1")
+        .select("centre", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.many")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / GROUP_BLOCK).alias("parts"))
+    )
+    rows = written(everyone.join(main, "centre"), "apart")
+    # Every block of the rest of a group meets every part of the group.
+    minor = rows.where("comp != main").select(
+        "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "rep", "comp", F.lit(True).alias("minor")
+    )
+    other = rows.select(
+        "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), "parts").alias("part"), "rep", "comp", F.lit(False).alias("minor")
+    )
+    blocks = minor.union(other).join(short, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+    keys = "centre long, block long, part long, rep long, comp long, minor boolean"
+    flagged = written(blocks.select(*_BLOCK_KEYS, "rep", "comp", "minor", "n", "sig").mapInArrow(_flagger(radius, percent), keys), "flagged")
+    whole = flagged.join(sets, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+    more = whole.select(*_BLOCK_KEYS, "rep", "comp", "minor", "shingles").mapInArrow(_block_linker(percent), "a long, b long")
     final = written(components(links.union(more), "a", "b"), "components")
 
     labels = classes.join(final, F.col("rep") == F.col("node"), "left").select(
