@@ -240,16 +240,16 @@ def _block_linker(percent: int):
     return link
 
 
-def _sets(texts: DataFrame, signed: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """Rows (rep, shingles) of at least the members.
+def _sets(texts: DataFrame, repeated: bool, members: DataFrame, size: int) -> DataFrame:
+    """Rows (rep, shingles) of at least the members. ``repeated``: ids of ``texts`` repeat.
 
     Up to FILTER_MEMBERS of them a bit map of FILTER_BITS bits, in which each member's hash is
     set, reaches every task, and texts are not moved; a few others pass it, which does no harm.
     More members, or ids that repeat, take a join.
     """
     schema = "rep long, shingles binary"
-    repeated = signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    if members.count() > FILTER_MEMBERS or not is_empty(repeated):
+    members = written(members, "members")
+    if repeated or members.count() > FILTER_MEMBERS:
         own = texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates()
         return written(own.mapInArrow(_setter(size), schema), "sets")
     places = members.select((F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1).alias("place"))
@@ -304,13 +304,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     buckets = written(met.join(centres, "key").select("key", "rep", "centre"), "buckets")
 
-    sets = _sets(texts, signed, buckets.select("rep").distinct(), size)
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = not is_empty(ids.where("n > 1"))
     short = classes.select("rep", "n", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are within the radius and similar."""
         sided = pairs.join(short.toDF("a", "n_a", "sig_a"), "a").join(short.toDF("b", "n_b", "sig_b"), "b")
         near = sided.mapInArrow(_near(radius, percent), "a long, b long")
+        near = written(near, "near")
+        # Most classes that share a bucket are not within the radius, and need no set.
+        sets = _sets(texts, repeated, near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size)
         both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return both.mapInArrow(_linker(percent), "a long, b long")
 
@@ -341,6 +345,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     blocks = minor.union(other).join(short, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
     keys = "centre long, block long, part long, rep long, comp long, minor boolean"
     flagged = written(blocks.select(*_BLOCK_KEYS, "rep", "comp", "minor", "n", "sig").mapInArrow(_flagger(radius, percent), keys), "flagged")
+    sets = _sets(texts, repeated, flagged.select("rep").distinct(), size)
     whole = flagged.join(sets, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
     more = whole.select(*_BLOCK_KEYS, "rep", "comp", "minor", "shingles").mapInArrow(_block_linker(percent), "a long, b long")
     final = written(components(links.union(more), "a", "b"), "components")
