@@ -20,9 +20,9 @@ START = "▁".encode()
 #: Longer words are worked on one by one.
 LONG = 48
 #: Words of one length at once.
-BATCH = 8192
+BATCH = 4096
 
-_FILTER_BITS = 22
+_SLOT_BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODES = mix(np.arange(1, 257, dtype=np.uint64), 31)
 
@@ -42,9 +42,12 @@ class Lattice:
         hashes = np.array([self._hash(p) for p in self.pieces], dtype=np.uint64)
         self._order = np.argsort(hashes)
         self._hashes = hashes[self._order]
-        self._filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self._filter[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        self._lengths = sorted(set(map(len, self.pieces)))
+        # The piece of a slot; -2 where two pieces share it, which a search tells apart.
+        slots = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        self._of_piece = hashes
+        self._slots = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
+        self._slots[slots] = np.arange(len(slots))
+        self._slots[slots[self._slots[slots] != np.arange(len(slots))]] = -2
         powers = [np.uint64(1)]
         with np.errstate(over="ignore"):
             for _ in range(self.longest):
@@ -64,34 +67,48 @@ class Lattice:
         other.log_p = np.asarray(log_p, dtype=np.float64)
         return other
 
-    def _edges(self, rows: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, which words, which pieces) of all pieces in words of one length."""
+    def _edges(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, word and piece of every piece in words of one length, by start."""
         count, size = rows.shape
         sums = np.zeros((size + 1, count), dtype=np.uint64)
         for k in range(size):
             sums[k + 1] = sums[k] * _BASE + _CODES[rows[:, k]]
-        edges = []
+        parts = []
         for start in range(size):
-            for n in self._lengths:
-                if start + n > size:
-                    break
-                value = sums[start + n] - sums[start] * self._powers[n]
-                some = np.flatnonzero(self._filter[value >> np.uint64(64 - _FILTER_BITS)])
-                if not len(some):
-                    continue
-                at = np.minimum(np.searchsorted(self._hashes, value[some]), len(self._hashes) - 1)
-                hit = self._hashes[at] == value[some]
-                if hit.any():
-                    edges.append((start, start + n, some[hit], self._order[at[hit]]))
-        return edges
-
-    def _forward(self, edges: list, count: int, size: int) -> np.ndarray:
+            most = min(self.longest, size - start)
+            values = (sums[start + 1 : start + most + 1] - sums[start] * self._powers[1 : most + 1, None]).ravel()
+            slot = self._slots[values >> np.uint64(64 - _SLOT_BITS)]
+            some = np.flatnonzero(slot != -1)
+            piece, found = slot[some], values[some]
+            shared = np.flatnonzero(piece == -2)
+            piece[shared] = self._order[np.minimum(np.searchsorted(self._hashes, found[shared]), len(self._hashes) - 1)]
+            hit = self._of_piece[piece] == found
+            length, word = np.divmod(some[hit], count)
+            parts.append((np.full(len(word), start), start + 1 + length, word, piece[hit]))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def _forward(self, edges: tuple, count: int, size: int) -> np.ndarray:
+        start, end, word, piece = edges
         forward = np.full((size + 1, count), -np.inf)
         forward[0] = 0.0
-        for start, end, words, pieces in edges:
-            forward[end, words] = np.logaddexp(forward[end, words], forward[start, words] + self.log_p[pieces])
+        cuts = np.searchsorted(start, np.arange(size + 1))
+        for k in range(size):
+            # From one start each word has one piece for an end, so no place is written twice.
+            e, w = end[cuts[k] : cuts[k + 1]], word[cuts[k] : cuts[k + 1]]
+            forward[e, w] = np.logaddexp(forward[e, w], forward[k, w] + self.log_p[piece[cuts[k] : cuts[k + 1]]])
         return forward
 
+    def _backward(self, edges: tuple, count: int, size: int) -> np.ndarray:
+        order = np.argsort(edges[1], kind="stable")
+        start, end, word, piece = (c[order] for c in edges)
+        back = np.full((size + 1, count), -np.inf)
+        back[size] = 0.0
+        cuts = np.searchsorted(end, np.arange(size + 2))
+        for k in range(size, 0, -1):
+            s, w = start[cuts[k] : cuts[k + 1]], word[cuts[k] : cuts[k + 1]]
+            back[s, w] = np.logaddexp(back[s, w], back[k, w] + self.log_p[piece[cuts[k] : cuts[k + 1]]])
+        return back
+
     def _batches(self, words: Sequence[bytes]):
         """Indices and rows of words of one length; long words come alone."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -144,12 +161,8 @@ class Lattice:
                 continue
             rows = np.frombuffer(raw, dtype=np.uint8).reshape(len(own), size)
             edges = self._edges(rows)
-            forward = self._forward(edges, len(own), size)
-            back = np.full((size + 1, len(own)), -np.inf)
-            back[size] = 0.0
-            for start, end, some, pieces in reversed(edges):
-                edge = back[end, some] + self.log_p[pieces]
-                back[start, some] = np.logaddexp(back[start, some], edge)
-                weight = np.exp(forward[start, some] + edge - forward[size, some]) * times[own[some]]
-                counts += np.bincount(pieces, weights=weight, minlength=len(counts))
+            start, end, word, piece = edges
+            forward, back = self._forward(edges, len(own), size), self._backward(edges, len(own), size)
+            weight = forward[start, word] + self.log_p[piece] + back[end, word] - forward[size, word]
+            counts += np.bincount(piece, weights=np.exp(weight) * times[own[word]], minlength=len(counts))
         return counts

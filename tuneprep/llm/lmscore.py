@@ -30,7 +30,9 @@ from tuneprep.llm.stage import written
 #: The most words that are sent to every task.
 FREQUENT = 100_000
 #: Words that a task counts before it passes the counts on.
-HELD = 400_000
+HELD = 150_000
+#: Words of the vocabulary that a task works on together.
+TOGETHER = 50_000
 #: Remainder of crc32(doc_id) modulo FOLDS that is held out.
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text; no word has a blank.
@@ -85,11 +87,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in groups of about TOGETHER rows: words of one length are then many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _expect(lattice: Lattice):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.pieces))
-        for batch in batches:
-            total += lattice.expected(batch.column("token").to_pylist(), np.ones(batch.num_rows))
+        for table in _together(batches):
+            total += lattice.expected(table.column("token").to_pylist(), np.ones(table.num_rows))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "times"])
 
@@ -123,13 +138,14 @@ class LanguageModel:
 
 def _rate(model: LanguageModel):
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = batch.column("train").to_numpy()
-            base, score = model.rate(batch.column("token").to_pylist(), counts.astype(float))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("token"), batch.column("everywhere"), pa.array(counts > 0), pa.array(base), pa.array(score)],
+        for table in _together(batches):
+            counts = table.column("train").to_numpy()
+            base, score = model.rate(table.column("token").to_pylist(), counts.astype(float))
+            rated = pa.table(
+                [table.column("token"), table.column("everywhere"), pa.array(counts > 0), pa.array(base), pa.array(score)],
                 names=["token", "everywhere", "known", "base", "score"],
             )
+            yield from rated.combine_chunks().to_batches(max_chunksize=10_000)
 
     return rate
 
@@ -185,8 +201,8 @@ def _score(shared):
         frequent = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 texts = part.column("text").to_pylist()
                 rows, which, tokens, numbers = [], [], [], []
                 for k, text in enumerate(texts):
@@ -210,7 +226,7 @@ def _score(shared):
                     which.append(k)
                     tokens.append(None)
                     numbers.append((size, known, base, total))
-                picked = part.take(pa.array(which, pa.int64()))
+                picked = part.select(["doc_id", "held_out"]).take(pa.array(which, pa.int64()))
                 columns = list(zip(*numbers, strict=True)) if numbers else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [
