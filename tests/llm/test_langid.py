@@ -1,5 +1,6 @@
 """The network's table form against its matrices, its gradient, and held-out accuracy."""
 
+import base64
 import random
 
 import numpy as np
@@ -48,6 +49,21 @@ def test_odd_rows_and_the_filter(spark):
     assert {r["doc_id"] for r in kept.collect()} >= {4, 5, None} and not {1, 2, 3, 6} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_junk_and_unseen_languages_go_and_known_ones_stay(spark):
+    rows, rng = corpus(4, 400), random.Random(5)
+    net = L.train(spark.createDataFrame([r for r in rows if r[2] != "cc"], SCHEMA), quota=80, steps=150)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)) for _ in range(20)]
+    junk += [base64.b64encode(rng.randbytes(120)).decode() for _ in range(20)]
+    junk += ["".join(chr(rng.randrange(0x430, 0x450)) for _ in range(80)), "字" * 50]
+    unseen = [t for _, t, lang, _ in rows if lang == "cc" and len(t) > 60]
+    both = " ".join(WORDS["aa"].split() * 20) + " " + " ".join(WORDS["bb"].split() * 20)
+    clean = [*(t for _, t, lang, _ in rows if lang != "cc"), both]
+    texts = [*junk, *unseen, *clean]
+    docs = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(texts)], SCHEMA)
+    kept = {r["doc_id"] for r in L.keep_identified(docs, net).collect()}
+    assert len(unseen) > 50 and kept == set(range(len(junk) + len(unseen), len(texts)))
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "text", None, None), (2, None, "aa", None), (3, "12", None, None)], SCHEMA)
     assert L.train(docs) is None

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from tuneprep.llm.familiar import Familiar
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 #: Windows whose responses are held at once.
@@ -32,6 +34,7 @@ class ByteCNN:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    familiar: Familiar | None = None  # what tells texts in none of the classes
     _tables: tuple | None = field(default=None, repr=False)
 
     @classmethod

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.llm.bytecnn import WINDOW, ByteCNN, windows
+from tuneprep.llm.familiar import Familiar
 from tuneprep.llm.samples import remainder, stratified
 
 UNKNOWN = "und"
@@ -36,8 +37,10 @@ def train(docs: DataFrame, quota: int = QUOTA, steps: int = 500) -> ByteCNN | No
         return None
     classes = sorted({lang for lang, _ in found})
     inputs = np.concatenate([windows(part.encode("utf-8", "replace")[:WINDOW]) for _, part in found])
+    labels = np.array([classes.index(lang) for lang, _ in found])
     net = ByteCNN.blank(classes)
-    net.fit(inputs, np.array([classes.index(lang) for lang, _ in found]), steps=steps)
+    net.fit(inputs, labels, steps=steps)
+    net.familiar = Familiar.calibrated(inputs, labels, net.probabilities(inputs))
     return net
 
 
@@ -51,7 +54,7 @@ def _predictor(net: ByteCNN | None):
             langs, scores = [], []
             for k in range(0, batch.num_rows, 64):
                 texts = batch.column("text").slice(k, 64).to_pylist()
-                for lang, score in _languages(net, texts):
+                for lang, score, _ in _languages(net, texts):
                     langs.append(lang)
                     scores.append(score)
             columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
@@ -61,18 +64,24 @@ def _predictor(net: ByteCNN | None):
     return predict
 
 
-def _languages(net: ByteCNN | None, texts: list[str | None]) -> list[tuple[str, float]]:
-    """For each text the language of the highest mean probability over all bytes, and that mean."""
+def _languages(net: ByteCNN | None, texts: list[str | None], judged: bool = False) -> list[tuple[str, float, bool]]:
+    """For each text the language of the highest mean probability over all bytes, that mean, and, if ``judged``, whether the text is familiar."""
     lettered = [has_letter(t) for t in texts]
     sums: dict[int, np.ndarray] = {}
+    heard: dict[int, tuple[float, int]] = {}
     queue: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
         if queue:
-            found = net.probabilities(np.concatenate([rows for _, rows, _ in queue])).astype(np.float64)
+            held_rows = np.concatenate([rows for _, rows, _ in queue])
+            found = net.probabilities(held_rows).astype(np.float64)
+            total, n = net.familiar.sums(held_rows, found) if judged else (None, None)
             at = 0
             for k, rows, weight in queue:
                 sums[k] = sums.get(k, 0) + weight @ found[at : at + len(rows)]
+                if judged:
+                    before = heard.get(k, (0.0, 0))
+                    heard[k] = before[0] + float(total[at : at + len(rows)].sum()), before[1] + int(n[at : at + len(rows)].sum())
                 at += len(rows)
             queue.clear()
 
@@ -95,9 +104,9 @@ def _languages(net: ByteCNN | None, texts: list[str | None]) -> list[tuple[str,
     for k in range(len(texts)):
         if k in sums:
             best = int(np.argmax(sums[k]))
-            out.append((net.classes[best], float(min(1.0, sums[k][best]))))
+            out.append((net.classes[best], float(min(1.0, sums[k][best])), judged and net.familiar.holds(*heard[k])))
         else:
-            out.append((UNKNOWN, 0.0))
+            out.append((UNKNOWN, 0.0, False))
     return out
 
 
@@ -116,13 +125,14 @@ def identify(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
     return rows.mapInArrow(_predictor(net), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of at least ``least``.
+def keep_identified(docs: DataFrame, net: ByteCNN | None) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that the network knows.
 
-    A text without a letter has no language; one below ``least`` resembles none of them more
-    than the others. A text in two languages stays. Without a network every text with a letter
-    stays. The text is read and judged in one pass,
-    and rows do not move.
+    A text without a letter has no language. Letter junk and text in other languages have runs
+    of letters that are improbable in the languages that the network finds in each window
+    (``Familiar``, calibrated when it was trained); they go. A text in two known languages
+    stays, and so does one of a few letters, which says little. Without a network every text
+    with a letter stays. The text is read and judged in one pass, and rows do not move.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +144,7 @@ def keep_identified(docs: DataFrame, net: ByteCNN | None, least: float = 0.2) ->
                 if net is None:
                     stay.extend(has_letter(t) for t in part)
                 else:
-                    stay.extend(lang != UNKNOWN and score >= least for lang, score in _languages(net, part))
+                    stay.extend(familiar for _, _, familiar in _languages(net, part, judged=True))
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     at = docs.columns.index("text")
