@@ -66,6 +66,22 @@ def test_terms_that_reveal_an_entity(spark):
     assert math.isclose(again["kestrel"], 1 + math.log2(6 / 7) / math.log2(len(rows) / 6))
 
 
+def test_one_phrase_in_many_texts_and_copies_among_texts(spark, monkeypatch):
+    rows = world()
+    rows += [(3000 + k, f"{rows[10 + k][1]} Regards Alice Wonderly a@x.example {rows[60 + k][1]}") for k in range(20)]
+    three = [f"{rows[120 + k][1]} Falconer {rows[130 + k][1].split()[0]} chief@y.example" for k in range(3)]
+    rows += [(4000 + k, t) for k, t in enumerate(three + [three[0]] * 9)]
+    elsewhere = "kestrel without the address " + rows[150][1]
+    rows += [(5000 + k, elsewhere) for k in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r["term"]: r["disclosure"] for r in P.disclosing_terms(docs).collect()}
+    kestrel = 1 + math.log2(6 / 7) / math.log2(len(rows) / 6)
+    assert set(found) == {"kestrel", "regards", "alice", "wonderly", "falconer"} and math.isclose(found.pop("kestrel"), kestrel)
+    assert set(found.values()) == {1.0}
+    monkeypatch.setattr(P, "TERMS_SENT", 0)
+    assert {r["term"]: r["disclosure"] for r in P.disclosing_terms(docs).collect()} == found | {"kestrel": kestrel}
+
+
 def test_spans_digest_and_text(spark, monkeypatch):
     rows = [*world(), (2000, "Write to boss@firm.example or ask kestrel, Kestrels."), (2001, None), (2002, "")]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS n_email", "'x' AS term", "'y' AS spans")

@@ -3,8 +3,9 @@
 A term reveals a protected entity if seeing the term makes the entity likely. With counts over
 the documents of the corpus, PMI(t; e) = log2(p(t, e) / (p(t) p(e))) says how many of the
 -log2 p(e) bits of the entity the term gives away; the disclosure is their ratio, 1 if the term
-never occurs without the entity. Only terms that stand near the entity in several different
-contexts count, so a text that was copied often reveals nothing by being copied.
+never occurs without the entity. What the term says of the entity, p(e | t), is counted over
+different texts, and only terms that stand near the entity in several of them count, so a text
+that was copied often reveals nothing by being copied, and hides nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from tuneprep.llm.stage import written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Documents in which an entity must occur, and contexts in which a term must stand near it.
+#: Different texts in which a term must stand near an entity.
 SUPPORT = 3
 #: Words on either side of an entity that count as near.
 NEAR = 10
@@ -94,81 +95,105 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _digest(text: str) -> bytes:
+    """128 bits, equal for equal texts."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (entity, doc, term, context): the terms near each entity, and the words around them."""
+    """Rows (entity, doc, digest, term): the terms near each entity; one without a term for the entity itself."""
     doc = TaskContext.get().partitionId() << 40
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
             spans, seen = base_spans(text), set()
             doc += 1
+            digest = _digest(text) if spans else b""
             for kind, a, b in spans:
                 entity = _hash(f"{kind}:{text[a:b].lower()}")
+                seen.add((entity, doc, digest, None))
                 left = [m.span() for m in _TERM.finditer(text, max(0, a - 40 * NEAR), a)][-NEAR:]
                 right = [m.span() for _, m in zip(range(NEAR), _TERM.finditer(text, b, b + 40 * NEAR), strict=False)]
-                for side in (left, right):
-                    words = [text[x:y].lower() for x, y in side]
-                    for k, word in enumerate(words):
-                        if any(s[1] < side[k][1] and side[k][0] < s[2] for s in spans):
-                            continue
-                        context = _hash(" ".join(words[max(0, k - 1) : k] + ["_"] + words[k + 1 : k + 2]))
-                        seen.add((entity, doc, word, context))
+                for x, y in left + right:
+                    if not any(s[1] < y and x < s[2] for s in spans):
+                        seen.add((entity, doc, digest, text[x:y].lower()))
             rows.extend(seen)
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())],
-            names=["entity", "doc", "term", "context"],
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.string())],
+            names=["entity", "doc", "digest", "term"],
         )
 
 
-def _frequencies(wanted: frozenset[str] | None):
-    """Rows (term, docs): in how many texts of a task a term occurs; all terms if none are named."""
+def _words(numbers: dict[str, int] | None):
+    """Rows (digest, terms): the numbers of the named terms that a text has; all its terms if none are named."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                digests, terms = [], []
+                for text in batch.column("text").slice(at, 256).to_pylist():
+                    words = set(_TERM.findall(text.lower()))
+                    own = list(words) if numbers is None else [numbers[w] for w in words if w in numbers]
+                    if own:
+                        digests.append(_digest(text))
+                        terms.append(own)
+                kind = pa.string() if numbers is None else pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(terms, pa.list_(kind))], names=["digest", "terms"])
+
+    return find
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (number, texts): in how many of a task's rows a term occurs."""
+    counts: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "docs"])
-            counts.clear()
-            return out
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), kind), pa.array(list(counts.values()), pa.int64())], names=["number", "texts"])
+        counts.clear()
+        return out
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = set(_TERM.findall(text.lower()))
-                counts.update(words if wanted is None else words & wanted)
-                if len(counts) > 400_000:
-                    yield flush()
+    for batch in batches:
+        found = batch.column("terms").flatten()
+        kind = found.type
+        found = found.value_counts()
+        counts.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True)))
+        if len(counts) > 400_000:
+            yield flush()
+    if counts:
         yield flush()
 
-    return count
-
 
 def disclosing_terms(docs: DataFrame, discloses: float = DISCLOSES, support: int = SUPPORT) -> DataFrame:
     """Rows (``term``, ``disclosure``): terms that reveal an entity of the corpus.
 
-    Counts are over all rows of ``docs`` with a text. A text that recurs adds to the counts
-    but not to the contexts, of which a term needs three for four documents.
+    p(e) is over all rows of ``docs`` with a text. p(e | t) and the support are over different
+    texts, so copies of a text are one.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and text != ''")
-    mentions = written(texts.mapInArrow(_mentions, "entity long, doc long, term string, context long"), "mentions")
-    entities = mentions.select("entity", "doc").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    near = mentions.join(entities, "entity")
-    docs_of = near.select("entity", "term", "doc", "n_entity").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"))
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    enough = (F.col("contexts") >= support) & (4 * F.col("contexts") >= 3 * F.col("n_both")) & (F.col("n_both") >= support)
-    pairs = written(docs_of.join(contexts, ["entity", "term"]).where(enough), "pairs")
+    mentions = written(texts.mapInArrow(_mentions, "entity long, doc long, digest binary, term string"), "mentions")
+    entities = mentions.where("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    different = mentions.where("term is not null").select("entity", "term", "digest").distinct()
+    both = different.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    pairs = written(both.join(entities, "entity"), "pairs")
     terms = pairs.select("term").distinct()
     count = terms.count()
     if not count:
         return terms.withColumn("disclosure", F.lit(1.0))
     # Counting other terms as well would change nothing but the work.
-    wanted = frozenset(r["term"] for r in terms.collect()) if count <= TERMS_SENT else None
-    frequencies = texts.mapInArrow(_frequencies(wanted), "term string, docs long").groupBy("term").agg(F.sum("docs").alias("n_term"))
+    numbers = {t: k for k, t in enumerate(sorted(r["term"] for r in terms.collect()))} if count <= TERMS_SENT else None
+    if numbers is None:
+        numbered = terms.withColumn("number", F.col("term"))
+    else:
+        numbered = docs.sparkSession.createDataFrame(list(numbers.items()), "term string, number int")
+    kind = dict(numbered.dtypes)["number"]
+    once = texts.mapInArrow(_words(numbers), f"digest binary, terms array<{kind}>").dropDuplicates(["digest"])
+    frequencies = once.mapInArrow(_frequencies, f"number {kind}, texts long").groupBy("number").agg(F.sum("texts").alias("n_term"))
     total = texts.count()
     bits = F.log2(F.lit(float(total)) / F.col("n_entity"))
     # An entity of every document carries no information that a term could give away.
     share = F.when(bits > 0, 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / bits).otherwise(0.0)
-    found = pairs.join(frequencies, "term").withColumn("disclosure", share)
+    found = pairs.join(numbered.join(frequencies, "number"), "term").withColumn("disclosure", share)
     return written(found.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= discloses), "terms")
 
 
