@@ -63,3 +63,70 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["license"], r["start"]) for r in scan_licenses(df).collect())
     assert got == [(0, "Proprietary", 0), (4, "Proprietary", 0), (4, "Proprietary", 0), (5, "Proprietary", 800_001)]
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+PUBLISHED = {
+    "MIT": ("The above copyright", "THE SOFTWARE IS"),
+    "Apache-2.0": ("You may obtain", "http://", "Unless required"),
+    "BSD-2-Clause": ("1. Redistributions", "2. Redistributions"),
+}
+
+
+def test_every_long_template_is_found_between_other_lines():
+    rng, index = random.Random(6), TemplateIndex(TEMPLATES)
+    prose = [" ".join(rng.choice(["alpha", "of", "the", "beta", "software", "gamma", "delta"]) for _ in range(12)) for _ in range(40)]
+    for name, texts in TEMPLATES.items():
+        words = texts[-1].split()
+        if len(words) < 25:
+            continue
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        for gap in (0, 2, 3):
+            own = [x for k, line in enumerate(lines) for x in ([""] if gap and k and k % gap == 0 else []) + [line]]
+            text = "\n".join(prose[:20] + own + prose[20:])
+            found = [f for f in index.scan(text, runs=True) if f[0] == name]
+            a = len("\n".join(prose[:20])) + 1
+            assert found == [(name, 1.0, a, a + len("\n".join(own)))], (name, gap)
+            assert {f[0] for f in index.scan(text, runs=True)} <= {name} | {f[0] for f in index.scan(text)}
+
+
+def test_published_blank_lines():
+    index = TemplateIndex(TEMPLATES)
+    for name, marks in PUBLISHED.items():
+        text = " ".join(TEMPLATES[name][-1].split())
+        for mark in marks:
+            text = text.replace(" " + mark, "\n\n" + mark)
+        other = "\n".join(f"{k} other words {k} here {k} and there {k}" for k in range(60))
+        text = f"{other}\n\n{text}\n\n{other}"
+        assert not any(f[0] == name for f in index.scan(text))
+        assert [f[:2] for f in index.scan(text, runs=True) if f[0] == name] == [(name, 1.0)]
+
+
+def test_runs_against_all_runs():
+    rng, small = random.Random(8), {"A": ("a b c d e f",), "B": ("c d e f g h i",)}
+    index = TemplateIndex(small)
+    for _ in range(600):
+        lines = [" ".join(rng.choice("abcdefghixyz") if rng.random() < 0.4 else "abcdefghi"[k % 9] for k in range(s, s + rng.randrange(4))) for s in (rng.randrange(9) for _ in range(rng.randrange(2, 9)))]
+        text = "\n".join(lines)
+        best = {}
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                for name, (t,) in small.items():
+                    d = dice(bigrams("\n".join(lines[i : j + 1])), bigrams(t))
+                    best[name] = max(best.get(name, 0), d)
+        top = max(best.values())
+        found = index.scan(text, runs=True)
+        assert max((f[1] for f in found), default=0) == (top if top >= 0.8 else 0)
+
+
+def test_repeated_lines_take_linear_time():
+    text = "\n".join(" ".join(TEMPLATES["MIT"][-1].split()[k : k + 9]) for k in range(0, 160, 9))
+    assert len(TemplateIndex(TEMPLATES).scan("\n".join([text] * 300), runs=True)) >= 100
+    assert TemplateIndex(TEMPLATES).scan("of the software\n" * 20_000, runs=True) == []
+
+
+def test_the_query_finds_a_licence_with_blank_lines(spark, tmp_path):
+    from tuneprep.llm.queries import op1_licenses
+
+    text = "prose and more\n" * 90 + "\n\n".join(" ".join(TEMPLATES["MIT"][-1].split()[k : k + 40]) for k in range(0, 200, 40))
+    spark.createDataFrame([(1, text)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["license"], r["dice"]) for r in op1_licenses(spark, str(tmp_path)).collect()] == [("MIT", 1.0)]

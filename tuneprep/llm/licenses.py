@@ -1,9 +1,10 @@
 """Licence scans: Dice coefficient of word bigrams against templates.
 
-A text is compared line by line, paragraph by paragraph and as a whole. Two bigram sets of
-sizes a and b have a Dice coefficient of at most 2 min(a, b) / (a + b), so only templates whose
+A text is compared line by line, paragraph by paragraph and as a whole, and, with ``runs``, by
+any run of consecutive lines. Two bigram sets of sizes a and b have a Dice coefficient of at most 2 min(a, b) / (a + b), so only templates whose
 size is within bounds of a segment's are compared with it, and only those that share a bigram.
-Both rules lose nothing. Nothing moves between tasks.
+Both rules lose nothing. Of runs, those are left out that are no worse without their first or
+last line. Nothing moves between tasks.
 """
 
 from __future__ import annotations
@@ -31,11 +32,15 @@ Bigram = tuple[str, str]
 
 def bigrams(text: str) -> frozenset[Bigram]:
     """Pairs of adjacent words of the normalised text: lower case, no punctuation, no notices of who owns it since when."""
+    words = _words(text)
+    return frozenset(zip(words, words[1:], strict=False))
+
+
+def _words(text: str) -> list[str]:
     text = text.lower()
     if "copyright" in text or "(c)" in text or "©" in text:
         text = _NOTICE.sub(" ", text)
-    words = _WORD.findall(text)
-    return frozenset(zip(words, words[1:], strict=False))
+    return _WORD.findall(text)
 
 
 def dice(a: frozenset, b: frozenset) -> float:
@@ -73,8 +78,8 @@ class TemplateIndex:
         found = [f for f in found if f[0] >= self.least]
         return min(found, key=lambda f: (-f[0], f[1])) if found else None
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, start, end) of the lines, paragraphs and the whole text that match.
+    def scan(self, text: str | None, runs: bool = False) -> list[tuple[str, float, int, int]]:
+        """(licence, coefficient, start, end) of the lines, paragraphs, the whole text and, with ``runs``, runs of lines that match.
 
         A span within which, or around which, another one matches the same licence better is
         left out. Ends are exclusive.
@@ -96,8 +101,79 @@ class TemplateIndex:
                 best = self.best(bigrams(text[a:b])) if "\n" in text[a:b] and self._fits(lines, a, b) else None
                 if best:
                     found.append((best[1], best[0], a, b))
+            if runs:
+                found.extend(self._runs(text, found))
         return sorted((f for f in found if not any(_better(g, f) for g in found)), key=lambda f: (f[2], f[3], f[0]))
 
+    def _runs(self, text: str, found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        """Matching runs of two lines or more, best first, without those that overlap a span at least as good."""
+        words, line_of, edges, at = [], [], [], 0
+        for k, line in enumerate(text.split("\n")):
+            own = _words(line)
+            words.extend(own)
+            line_of.extend([k] * len(own))
+            edges.append((at, at + len(line)))
+            at += len(line) + 1
+        pairs = list(zip(words, words[1:], strict=False))
+        # A match shares at least this part of the template's bigrams.
+        part = self.least / (2 - self.least)
+        shared = Counter(k for pair in self.known.intersection(pairs) for k in self.postings[pair])
+        matches = []
+        for k, n in shared.items():
+            if n >= part * self.sizes[k] - 1e-9:
+                matches.extend((d, self.names[k], edges[i][0], edges[j][1]) for d, i, j in self._runs_of(k, pairs, line_of))
+        out = []
+        for d, name, a, b in sorted(matches, key=lambda m: (-m[0], m[3] - m[2], m[1], m[2])):
+            # A short statement of another licence within the run does not matter.
+            rivals = (f for f in (*found, *out) if f[2] < b and a < f[3] and f[1] >= d)
+            if not any(f[0] == name or 2 * (f[3] - f[2]) >= b - a for f in rivals):
+                out.append((name, d, a, b))
+        return out
+
+    def _runs_of(self, k: int, pairs: list[Bigram], line_of: list[int]) -> Iterator[tuple[float, int, int]]:
+        """(coefficient, first line, last line) of runs that match a template.
+
+        A run begins at a line with a bigram of the template that no later line of it has: without
+        that line it would match as well. So each line is read for at most as many beginnings as
+        the template has bigrams.
+        """
+        own, size = self.sets[k], self.sizes[k]
+        most = size * (2 - self.least) / self.least + 1e-9
+        places = [p for p, pair in enumerate(pairs) if pair in own]
+        until: dict[int, int] = {}
+        following: dict[Bigram, list[int]] = {}
+        for p in reversed(places):
+            # The places of the bigram in the nearest line so far, and the end of its first place in a later line.
+            line, near = line_of[p], following.get(pairs[p])
+            if near is None:
+                following[pairs[p]] = near = [line, line_of[p + 1], len(line_of)]
+            elif near[0] == line:
+                near[1] = line_of[p + 1]
+            else:
+                near[:] = [line, line_of[p + 1], near[1]]
+            until[line] = max(until.get(line, 0), near[2])
+        first: dict[int, int] = {}
+        for p in range(len(line_of) - 1, -1, -1):
+            if line_of[p] in until:
+                first[line_of[p]] = p
+        for line, end in until.items():
+            seen: set[Bigram] = set()
+            same, best = 0, None
+            for p in range(first[line], len(pairs)):
+                if line_of[p + 1] >= end or len(seen) > most:
+                    break
+                pair = pairs[p]
+                if pair not in seen:
+                    seen.add(pair)
+                    same += pair in own
+                last = line_of[p + 1]
+                if last > line and (p + 1 == len(pairs) or line_of[p + 2] > last):
+                    score = 2 * same / (len(seen) + size)
+                    if score >= self.least and (best is None or score > best[0]):
+                        best = (score, line, last)
+            if best:
+                yield best
+
     def _fits(self, lines: list[tuple[int, frozenset[Bigram]]], a: int, b: int) -> bool:
         """False if the lines of a segment alone have more bigrams than any template allows."""
         seen: set[Bigram] = set()
@@ -114,14 +190,14 @@ def _better(g: tuple, f: tuple) -> bool:
     return g != f and g[0] == f[0] and nested and (g[1], g[3] - g[2]) > (f[1], f[3] - f[2])
 
 
-def _scanner(index: TemplateIndex):
+def _scanner(index: TemplateIndex, runs: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 which, rows = [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    for row in index.scan(text):
+                    for row in index.scan(text, runs):
                         which.append(k)
                         rows.append(row)
                 columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -139,9 +215,11 @@ def _scanner(index: TemplateIndex):
     return scan
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] | None = None, least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] | None = None, least: float = LEAST, runs: bool = False) -> DataFrame:
     """Rows (``doc_id``, ``license``, ``dice``, ``start``, ``stop``): one for each matching span of a text.
 
+    With ``runs``, a template is found wherever it stands between line ends, whatever blank lines it has.
+
     * A null or empty text, and one without two adjacent words, matches nothing.
     * Repeated rows are scanned each. Of templates that match equally well the first name counts.
     * Other columns are not read. An empty table gives no rows.
@@ -149,4 +227,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, Sequence[str]] | None
     index = TemplateIndex(TEMPLATES if templates is None else templates, least)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_scanner(index), f"doc_id {kind}, license string, dice double, start long, stop long")
+    return rows.mapInArrow(_scanner(index, runs), f"doc_id {kind}, license string, dice double, start long, stop long")

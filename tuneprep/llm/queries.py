@@ -29,7 +29,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all documents that match a licence template."""
-    return scan_licenses(_documents(spark, sf_dir))
+    return scan_licenses(_documents(spark, sf_dir), runs=True)
 
 
 def op2_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
