@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.llm import langid, mixing, sharding, toxicity
+from tuneprep.llm import langid, mixing, sharding, toxicity, variants
 from tuneprep.llm.decontaminate import find_leaks
 from tuneprep.llm.licenses import scan_licenses
 from tuneprep.llm.lmscore import load_vocabulary, score_texts
@@ -84,6 +84,12 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with the frequent word one edit away that each may misspell."""
+    words = variants.count_words(_documents(spark, sf_dir), variants.MIN_LENGTH, variants.MIN_COUNT, variants.DROP_EVERY)
+    return variants.group_variants(words, variants.TIMES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_block_max_wand": op2_block_max_wand,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_disclosure": op9_disclosure,
     "op10_histogram_sort": op10_histogram_sort,
+    "op11_trie_frontier": op11_trie_frontier,
 }
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL, "op10_histogram_sort": sharding.SQL}
+SQL: dict[str, str] = {"op8_mixing": mixing.SQL, "op10_histogram_sort": sharding.SQL, "op11_trie_frontier": variants.SQL}
