@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.llm import langid, mixing, sharding, toxicity, variants
+from tuneprep.llm import collocations, langid, mixing, sharding, toxicity, variants
 from tuneprep.llm.decontaminate import find_leaks
 from tuneprep.llm.licenses import scan_licenses
 from tuneprep.llm.lmscore import load_vocabulary, score_texts
@@ -90,6 +90,11 @@ def op11_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(words, variants.TIMES)
 
 
+def op12_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each language whose words occur together more often than by chance."""
+    return collocations.mine_phrases(_documents(spark, sf_dir), longest=5, min_count=100, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_block_max_wand": op2_block_max_wand,
@@ -102,6 +107,12 @@ QUERIES: dict[str, Query] = {
     "op9_disclosure": op9_disclosure,
     "op10_histogram_sort": op10_histogram_sort,
     "op11_trie_frontier": op11_trie_frontier,
+    "op12_double_array": op12_double_array,
 }
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL, "op10_histogram_sort": sharding.SQL, "op11_trie_frontier": variants.SQL}
+SQL: dict[str, str] = {
+    "op8_mixing": mixing.SQL,
+    "op10_histogram_sort": sharding.SQL,
+    "op11_trie_frontier": variants.SQL,
+    "op12_double_array": collocations.SQL,
+}
