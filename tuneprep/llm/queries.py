@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.llm import collocations, langid, mixing, sharding, toxicity, variants
+from tuneprep.llm import collocations, langid, mixing, nndescent, sharding, toxicity, variants
 from tuneprep.llm.decontaminate import find_leaks
 from tuneprep.llm.licenses import scan_licenses
 from tuneprep.llm.lmscore import load_vocabulary, score_texts
@@ -95,6 +95,12 @@ def op12_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(_documents(spark, sf_dir), longest=5, min_count=100, top=2000)
 
 
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found for every hundredth vector, among all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nndescent.search(nndescent.build_graph(vectors, k=10), vectors.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_block_max_wand": op2_block_max_wand,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op10_histogram_sort": op10_histogram_sort,
     "op11_trie_frontier": op11_trie_frontier,
     "op12_double_array": op12_double_array,
+    "op13_nn_descent": op13_nn_descent,
 }
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {
