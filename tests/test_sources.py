@@ -20,7 +20,6 @@ from tuneprep.sources.files import file_kind, path_list, split_table
 from tuneprep.sources.jsonl import read_json_array, read_jsonl
 from tuneprep.sources.load import SchemaMismatch, load
 from tuneprep.sources.sqlite import choose_tables, read_sqlite, read_sqlite_table
-from tuneprep.sources.text import number_lines, read_lines
 
 
 def qa(n, start=0):
@@ -94,20 +93,6 @@ def test_delimited(spark, tmp_path, text, columns, first):
         assert got["q three"] == ("q three", "") and got["q two\ta\ttwo"] == ("q two\ta", "two")
 
 
-def test_line_numbers_over_blocks(spark, tmp_path):
-    path = tmp_path / "x.txt"
-    lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
-    path.write_text("\n".join(lines) + "\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        base = read_lines(spark, [str(path)])
-        assert base.select("block").distinct().count() > 5
-        got = {r["line_no"]: r["line"] for r in number_lines(base).collect()}
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert got == {i + 1: x for i, x in enumerate(lines)}
-
-
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be", "latin-1", "cp1252"])
 def test_encodings(spark, tmp_path, encoding):
     text = "naïve café, größe\nzweite Zeile ñ\n" + ("€ “quoted”\n" if encoding not in ("latin-1",) else "")

@@ -26,10 +26,11 @@ from tuneprep.sources.encoding import read_any_encoding
 from tuneprep.sources.evalset import read_eval_samples
 from tuneprep.sources.files import listing
 from tuneprep.sources.jsonl import json_lines_column, read_json_array, read_jsonl
+from tuneprep.sources.lines import numbered_lines
 from tuneprep.sources.load import load, read_csv
 from tuneprep.sources.sqlite import read_sqlite, read_sqlite_table
 from tuneprep.sources.tar import read_tar
-from tuneprep.sources.text import number_lines, read_lines, read_text_files
+from tuneprep.sources.text import read_text_files
 
 ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32-le")
 LABEL_TABLES = {0: "train", 1: "valid", 2: "test"}
@@ -247,7 +248,7 @@ def training_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "logs")
     lines = log_lines(spark, sf_dir)
     lines.repartitionByRange("run_id", "line_no").sortWithinPartitions("run_id", "line_no").drop("line_no").write.partitionBy("run_id").text(folder)
-    read = number_lines(read_lines(spark, [folder]))
+    read = numbered_lines(spark, [folder])
     runs = read.select(
         F.regexp_extract("file", r"run_id=(\d+)/", 1).cast("bigint").alias("run_id"), F.struct("file", "line_no").alias("at"), "line"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.operators.formatting import eval_samples
 from tuneprep.sources.jsonl import infer_schema, parse_objects
-from tuneprep.sources.text import number_lines, read_lines
+from tuneprep.sources.lines import numbered_lines
 
 
 def read_eval_samples(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def read_eval_samples(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     The id is the line number, counted on from file to file in the order of their paths;
     blank or broken lines count.
     """
-    lines = number_lines(read_lines(spark, paths), across=True).select(F.col("line_no").alias("__id"), F.col("line").alias("value"))
+    lines = numbered_lines(spark, paths, across=True).select(F.col("line_no").alias("__id"), F.col("line").alias("value"))
     records = parse_objects(lines, infer_schema(spark, paths), keep=["__id"])
     prompt, golden, messages = eval_samples(records)
     return records.select(

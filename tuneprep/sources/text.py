@@ -1,14 +1,13 @@
-"""Delimited and plain text files, and line numbers over splittable text."""
+"""Delimited and plain text files."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import strip, tokens
-from tuneprep.session import scratch_dir
 
 # How prompt/completion files are recognised.
 DELIMITERS = ("@", "\t", "::", "||", "|")
@@ -18,34 +17,8 @@ LABEL_WORDS = 6
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, block, at, line): lines with their position, without leaving the scan.
-
-    (block, at) orders the lines of a file: blocks are read by one task each, in order.
-    """
-    return spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"),
-    )
-
-
-def number_lines(lines: DataFrame, across: bool = False) -> DataFrame:
-    """(file, line_no, line), counted from 1 over every line of a file.
-
-    With ``across`` the count goes on from file to file in the order of their paths. ``at``
-    grows by one from line to line of a block, so a line's number follows from its own and
-    its block's first, and no line is moved: only the table of blocks, which has a row for
-    each input split, is joined. It is written first, so that Spark knows how small it is.
-    """
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    window = Window.orderBy("file", "block") if across else Window.partitionBy("file").orderBy("block")
-    earlier = F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("file", "block", (earlier - F.col("first") + 1).alias("shift"))
-    path = scratch_dir(lines.sparkSession, "blocks")
-    offsets.write.parquet(path)
-    offsets = lines.sparkSession.read.schema(offsets.schema).parquet(path)
-    return lines.join(offsets, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "line")
+    """(file, line) of text files."""
+    return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
 def _after(line: Column, delimiter: str) -> Column:
