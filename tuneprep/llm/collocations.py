@@ -48,6 +48,8 @@ _BREAK[list(_BREAKS)] = True
 _STOP[list(_BREAKS + b" \t")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+#: Occurrences of the phrases of a trie: their places and counts, packed.
+_COUNTS = "shard int, idx binary, n binary"
 _TOKEN = re.compile(rb"[^ \t" + re.escape(_BREAKS) + rb"]+")
 
 
@@ -257,8 +259,44 @@ def _symbols(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(known[place] == hashes, place, -1)
 
 
+def _packed(shard: int, total: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int32()), pa.array([some.astype("<i4").tobytes()], pa.binary()), pa.array([total[some].tobytes()], pa.binary())], names=["shard", "idx", "n"]
+    )
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The sum of packed counts of each shard; rows of one shard follow one another, one is held at a time."""
+    shard, total = None, np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for k, own in enumerate(batch.column("shard").to_pylist()):
+            if own != shard:
+                if shard is not None:
+                    yield shard, total
+                shard, total = own, np.zeros(0, dtype=np.int64)
+            idx = np.frombuffer(batch.column("idx")[k].as_buffer(), dtype="<i4")
+            if len(idx):
+                if idx[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(idx[-1] + 1 - len(total), dtype=np.int64)])
+                total[idx] += np.frombuffer(batch.column("n")[k].as_buffer(), dtype=np.int64)
+    if shard is not None:
+        yield shard, total
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, total in _sums(batches):
+        yield _packed(shard, total)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, total in _sums(batches):
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, dtype=np.int32)), pa.array(some), pa.array(total[some])], names=["shard", "idx", "f"])
+
+
 def _accept(shards: int, longest: int, sent):
-    """Rows (shard, idx, n): how often a state of a trie accepted."""
+    """Rows (shard, idx, n): phrases whose states of a trie accepted, and how often, as packed integers."""
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = {shard: pickle.loads(blob) for shard, blob in sent.value}
@@ -293,8 +331,7 @@ def _accept(shards: int, longest: int, sent):
                     count = 0
         flush()
         for shard, total in totals.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, dtype=np.int32)), pa.array(some), pa.array(total[some])], names=["shard", "idx", "n"])
+            yield _packed(shard, total)
 
     return accept
 
@@ -351,8 +388,11 @@ def _counted(texts: DataFrame, candidates: DataFrame, longest: int) -> DataFrame
         rows = tries.where(f"idx = -1 AND shard >= {first} AND shard < {first + TRIES_SENT}").select("shard", "blob").collect()
         if rows:
             sent = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in rows])
-            own = texts.mapInArrow(_accept(shards, longest, sent), "shard int, idx long, n long")
-            own = written(own.groupBy("shard", "idx").agg(F.sum("n").alias("f")), "counts")
+            own = texts.mapInArrow(_accept(shards, longest, sent), _COUNTS).withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(16)))
+            # Counts of one task after the other are added up: in parts of a shard, then those.
+            own = own.repartition(spread(spark), "shard", "salt").sortWithinPartitions("shard").select("shard", "idx", "n").mapInArrow(_add, _COUNTS)
+            own = own.repartition(spread(spark), "shard").sortWithinPartitions("shard").mapInArrow(_unpack, "shard int, idx long, f long")
+            own = written(own, "counts")
             sent.unpersist()
             counts = own if counts is None else counts.unionAll(own)
     phrases = tries.where("idx >= 0").drop("blob")
