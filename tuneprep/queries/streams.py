@@ -17,8 +17,6 @@ from tuneprep.queries.sql import LOG_LINES, SCORED, STOPS, strip, tokens
 from tuneprep.session import scratch_dir
 from tuneprep.streaming.logs import (
     append_to,
-    keep_latest,
-    latest,
     log_stream,
     metric_stream,
     milestone_stream,
@@ -27,7 +25,9 @@ from tuneprep.streaming.logs import (
     running_accuracy,
     running_best,
 )
-from tuneprep.streaming.records import progress, record_stream, write_formatted
+from tuneprep.streaming.progress import count_records
+from tuneprep.streaming.records import record_stream, write_formatted
+from tuneprep.streaming.table import keep_latest, latest
 
 FILES_PER_BATCH = 8
 
@@ -45,9 +45,11 @@ def stream_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.repartition(16).write.json(f"{base}/in")
     stream = record_stream(spark, f"{base}/in", docs.schema, FILES_PER_BATCH)
     mapping = ColumnMapping(prompt_template="{doc_id}", completion_col="text")
+    counts = count_records(spark, f"{base}/counts")
     query = write_formatted(stream, Format.PROMPT_COMPLETION, mapping, f"{base}/out", f"{base}/checkpoint")
     _run(query)
-    counted = sum(progress(query))
+    counted = counts.total(query)
+    spark.streams.removeListener(counts)
     written = spark.read.schema("prompt string, completion string").json(f"{base}/out")
     return written.withColumn("counted", F.lit(counted).cast("long"))
 
@@ -99,18 +101,29 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each run starts to overfit, found while its losses arrive."""
+    """Where each run starts to overfit, found while its losses arrive in eight batches.
+
+    Every third point comes up to 40 events late, and every fifth first with a loss that a later
+    line corrects.
+    """
     base = scratch_dir(spark, "overfit")
     views = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
     points = views.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("val_loss"))
-    points.repartitionByRange(4, "step").write.parquet(f"{base}/in")
-    schema = "run_id string, step long, val_loss double"
-    # Files in order of step: a run's steps must grow from batch to batch.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+    late = F.when(F.col("step") % 3 == 0, F.pmod(F.xxhash64("step"), F.lit(40))).otherwise(0)
+    right = points.select("*", F.lit(1).alias("seq"), (F.col("step") + late).alias("at"))
+    wrong = points.where(F.col("step") % 5 == 0).select("run_id", "step", (F.col("val_loss") * 3).alias("val_loss"), F.lit(0).alias("seq"), F.col("step").alias("at"))
+    ends = points.agg(F.min("step"), F.max("step")).first()
+    batch = F.least(F.lit(7), F.floor((F.col("at") - (ends[0] or 0)) * 8 / ((ends[1] or 0) - (ends[0] or 0) + 1)))
+    arriving = right.union(wrong).withColumn("batch", batch.cast("int")).drop("at")
+    # The stream takes the oldest files first.
+    for n in range(8):
+        arriving.where(F.col("batch") == n).drop("batch").repartition(FILES_PER_BATCH).write.mode("append").parquet(f"{base}/in")
+    schema = "run_id string, step long, val_loss double, seq int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/in")
     with rocksdb_state(spark):
-        query = append_to(overfit_alerts(stream), f"{base}/out", f"{base}/checkpoint")
+        query = keep_latest(overfit_alerts(stream), f"{base}/out", f"{base}/checkpoint")
     _run(query)
-    return spark.read.parquet(f"{base}/out")
+    return latest(spark, f"{base}/out").where("stop_step IS NOT NULL").select("run_id", "stop_step", "val_loss")
 
 
 def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:

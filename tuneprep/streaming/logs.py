@@ -1,9 +1,10 @@
-"""Metrics, milestones and running bests of training logs that are still written."""
+"""Metrics, milestones, running bests and overfitting of training logs that are still written."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,52 +59,105 @@ def running_accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
-def keep_latest(state: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write changed state rows, a folder per batch. A batch that runs again replaces its
-    folder, so the table stays right when a job is restarted."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+@dataclass
+class _Curve:
+    """What is known of a run's settled points."""
+
+    step: int | None = None
+    previous: float | None = None
+    low: float | None = None
+    rose: bool = False
+    stop_step: int | None = None
+    stop_loss: float | None = None
+    told: int | None = None
+    late: int = 0
+
+    def follow(self, points: Iterator[tuple[int, float]]) -> None:
+        """Go on to the stop, or to the last point."""
+        for step, loss in points:
+            if self.stop_step is not None:
+                return
+            self.step = step
+            if self.low is None or loss < self.low:
+                self.low, self.rose = loss, False
+            else:
+                rises = loss > self.previous
+                if (loss - self.low) / max(self.low, SMALLEST_MINIMUM) > REBOUND_TOLERANCE or (rises and self.rose):
+                    self.stop_step, self.stop_loss = step, loss
+                self.rose = rises
+            self.previous = loss
 
 
-def latest(spark: SparkSession, path: str, key: str = "run_id") -> DataFrame:
-    """The last row written for every key."""
-    rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(key, "s.*")
+class _RiseWatch(StatefulProcessor):
+    """Follows a run's validation loss in the order of its steps.
 
+    ``curve`` sums up the points that have settled: (last step, previous, minimum, rose, step and
+    loss of the stop, told stop, points too late). ``waiting`` holds the points with the largest
+    steps, ``wait`` of them at most, among which a late one still finds its place.
+    """
 
-class _RiseWatch(StatefulProcessor):
-    """Keeps (last step, previous, minimum, rose, stopped) of a run's validation loss."""
+    def __init__(self, wait: int, idle_ms: int | None) -> None:
+        self.wait, self.idle_ms = wait, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("curve", "step long, previous double, low double, rose boolean, stopped boolean")
+        self.handle = handle
+        self.curve = handle.getValueState(
+            "curve", "step long, previous double, low double, rose boolean, stop_step long, stop_loss double, told long, late long"
+        )
+        self.waiting = handle.getListState("waiting", "step long, seq long, val_loss double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, previous, low, rose, stopped = self.state.get() if self.state.exists() else (None, None, None, False, False)
-        if stopped:
+        curve = _Curve(*self.curve.get()) if self.curve.exists() else _Curve()
+        if curve.stop_step is not None:
             return
-        points = pd.concat(list(rows)).dropna().sort_values("step", kind="stable").drop_duplicates("step", keep="last")
-        if last is not None:
-            points = points[points["step"] > last]
-        for step, loss in zip(points["step"].tolist(), points["val_loss"].tolist()):
-            last = step
-            if low is None or loss < low:
-                low, rose = loss, False
-            else:
-                rises = loss > previous
-                rebound = (loss - low) / max(low, SMALLEST_MINIMUM) > REBOUND_TOLERANCE
-                if rebound or (rises and rose):
-                    stopped = True
-                    yield pd.DataFrame({"run_id": [key[0]], "stop_step": [step], "val_loss": [loss]})
-                    break
-                rose = rises
-            previous = loss
-        if last is not None:
-            self.state.update((last, previous, low, rose, stopped))
+        points = {step: (seq, loss) for step, seq, loss in self.waiting.get()}
+        late = curve.late
+        for frame in rows:
+            frame = frame.dropna(subset=["step", "val_loss"])
+            for step, seq, loss in zip(frame["step"].tolist(), frame["seq"].fillna(0).tolist(), frame["val_loss"].tolist(), strict=True):
+                if curve.step is not None and step <= curve.step:
+                    curve.late += 1
+                elif step not in points or seq >= points[step][0]:
+                    points[int(step)] = (int(seq), loss)
+        ordered = sorted(points)
+        settled = max(0, len(ordered) - self.wait)
+        curve.follow((step, points[step][1]) for step in ordered[:settled])
+        self._keep(curve, [(step, *points[step]) for step in ordered[settled:]])
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield from self._tell(key, curve, [(step, points[step][1]) for step in ordered[settled:]], curve.late > late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A run that has been silent: all its points settle."""
+        curve = _Curve(*self.curve.get()) if self.curve.exists() else _Curve()
+        if curve.stop_step is None:
+            curve.follow((step, loss) for step, _, loss in sorted(self.waiting.get()))
+            self._keep(curve, [])
+            yield from self._tell(key, curve, [], True)
+
+    def _keep(self, curve: _Curve, waiting: list[tuple[int, int, float]]) -> None:
+        if curve.stop_step is not None or not waiting:
+            self.waiting.clear()
+        else:
+            self.waiting.put(waiting)
+
+    def _tell(self, key, curve: _Curve, waiting: list[tuple[int, float]], always: bool) -> Iterator[pd.DataFrame]:
+        seen = replace(curve)
+        seen.follow(iter(waiting))
+        if always or seen.stop_step != curve.told or curve.stop_step is not None:
+            yield pd.DataFrame(
+                {
+                    "run_id": [key[0]],
+                    "stop_step": pd.array([seen.stop_step], dtype="Int64"),
+                    "val_loss": [seen.stop_loss],
+                    "settled": [curve.stop_step is not None or not waiting],
+                    "late": [curve.late],
+                }
+            ).astype({"val_loss": "float64"})
+        curve.told = seen.stop_step
+        self.curve.update(astuple(curve))
 
     def close(self) -> None:
         pass
@@ -123,18 +177,28 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(STATE_STORE, before)
 
 
-def overfit_alerts(points: DataFrame) -> DataFrame:
-    """(run_id, stop_step, val_loss): the first step at which a run starts to overfit.
+def overfit_alerts(points: DataFrame, wait: int = 1000, idle_seconds: float | None = None) -> DataFrame:
+    """(run_id, stop_step, val_loss, settled, late): the first step at which a run starts to
+    overfit, whenever that answer changes; write it with ``keep_latest``.
+
+    ``points`` is a stream of (run_id, step, val_loss) and optionally ``seq``: of equal steps the
+    one with the largest ``seq`` counts, or the last to arrive. Points may come in any order of
+    their steps: the ``wait`` points of a run with the largest steps wait, and later ones are put
+    among them. The answer takes the waiting points into account. If a late point proves it
+    wrong, it is corrected, or withdrawn with a null step. ``settled`` says that no late point can
+    change it any more. A point at or before the last settled step is too late; ``late`` counts
+    those of a run. A point without step or loss is left out.
 
-    ``points`` is a stream of (run_id, step, val_loss). Points of one batch are taken in the
-    order of their steps; of equal steps the last one counts. A point at or before the last
-    step of an earlier batch comes too late and is left out, like one without step or loss.
-    A run keeps five values of state, whatever its length. The query must be started in
-    ``rocksdb_state``.
+    A run keeps ``wait`` points and eight values. With ``idle_seconds`` the points of a run that
+    has been silent so long settle; timers do that, so such a query runs until it is stopped and
+    not with ``available_now``. The query must be started in ``rocksdb_state``.
     """
+    if "seq" not in points.columns:
+        points = points.withColumn("seq", F.lit(0))
+    points = points.select("run_id", F.col("step").cast("long").alias("step"), F.col("seq").cast("long").alias("seq"), F.col("val_loss").cast("double").alias("val_loss"))
     return points.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_RiseWatch(),
-        outputStructType="run_id string, stop_step long, val_loss double",
-        outputMode="Append",
-        timeMode="None",
+        statefulProcessor=_RiseWatch(wait, None if idle_seconds is None else int(idle_seconds * 1000)),
+        outputStructType="run_id string, stop_step long, val_loss double, settled boolean, late long",
+        outputMode="Update",
+        timeMode="None" if idle_seconds is None else "ProcessingTime",
     )

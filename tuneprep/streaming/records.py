@@ -26,15 +26,9 @@ def write_formatted(
 ) -> StreamingQuery:
     """Formatted records as JSON lines in ``path``, exactly once.
 
-    Every batch counts its records under the observed metric ``rows``; see ``progress``.
+    Every batch counts its records under the observed metric ``rows``; ``progress.count_records`` adds them up.
     """
     records = format_records(stream, fmt, mapping).select(record_json(fmt).alias("value"))
     counted = records.observe(ROWS, F.count(F.lit(1)).alias("records"))
     writer = counted.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def progress(query: StreamingQuery) -> list[int]:
-    """Records per finished batch."""
-    seen = [p["observedMetrics"].get(ROWS) for p in query.recentProgress]
-    return [row["records"] for row in seen if row is not None]
