@@ -8,11 +8,12 @@ import pyarrow.ipc as ipc
 import pytest
 from pyspark.sql import functions as F
 
+from tuneprep.operators.formatting import format_records
 from tuneprep.operators.splitting import SPLIT
 from tuneprep.plans.convert import convert, inspect, preview
 from tuneprep.plans.mapping import ColumnMapping, Format, MappingError
-from tuneprep.sinks.evals import append_leaderboard, export_leaderboard, read_leaderboard
-from tuneprep.sinks.records import read_manifest
+from tuneprep.sinks.evals import append_leaderboard, export_leaderboard, read_leaderboard, write_run_artifacts
+from tuneprep.sinks.records import read_manifest, write_records
 from tuneprep.sources.arrow_ipc import read_arrow
 from tuneprep.sources.encoding import detect_encoding, read_any_encoding
 from tuneprep.sources.evalset import read_eval_samples
@@ -358,6 +359,66 @@ def test_convert(spark, tmp_path):
     assert only_train["format"] == "text"
 
 
+def test_convert_counts_while_it_writes(spark, tmp_path):
+    source = write_jsonl(tmp_path / "a.jsonl", qa(100))
+    tracker, group = spark.sparkContext.statusTracker(), "convert-jobs"
+    spark.sparkContext.setJobGroup(group, "")
+    df = load(spark, source).df.withColumn(SPLIT, F.when(F.col("id") < 30, "a").otherwise("b"))
+    records = format_records(df, Format.TEXT, ColumnMapping(text_col="output"), keep=[SPLIT])
+    before = len(tracker.getJobIdsForGroup(group))
+    counts = write_records(records, Format.TEXT, str(tmp_path / "r"), None, ["a", "b", "c"])
+    assert counts == {"a": 30, "b": 70, "c": 0} and len(tracker.getJobIdsForGroup(group)) == before + 1
+    spark.sparkContext.setJobGroup("", "")
+    with pytest.raises(ValueError, match="70 records"):
+        write_records(records, Format.TEXT, str(tmp_path / "s"), None, ["a"])
+
+
+def test_convert_replaces_its_own_folder_only_when_complete(spark, tmp_path):
+    source, out = write_jsonl(tmp_path / "a.jsonl", qa(50)), tmp_path / "out"
+    first = convert(spark, source, str(out), "chat", key="id", gold=True)
+    before = {p.relative_to(out): p.read_bytes() for p in out.rglob("*") if p.is_file()}
+
+    def failing(name, n):
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError, match="stop"):
+        convert(spark, source, str(out), "text", key="id", progress=failing)
+    bad = load(spark, source).df.withColumn("output", F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("output")))
+    with pytest.raises(Exception, match="broken"):
+        convert(spark, lambda s: bad, str(out), "text", ColumnMapping(text_col="output"), key="id")
+    assert {p.relative_to(out): p.read_bytes() for p in out.rglob("*") if p.is_file()} == before
+    assert read_manifest(spark, str(out)) == first
+    second = convert(spark, write_jsonl(tmp_path / "b.jsonl", qa(20)), str(out) + "/", "text", ColumnMapping(text_col="output"), key="id")
+    assert second["total_records"] == 20 == load(spark, str(out)).df.count() and read_manifest(spark, str(out)) == second
+    assert not (out / "_test_gold").exists() and sorted(p.name for p in tmp_path.iterdir()) == ["a.jsonl", "b.jsonl", "out"]
+    for part in second["files"].values():
+        found = list((tmp_path / "out" / part["path"].rsplit("/", 1)[1]).glob("part-*"))
+        assert (len(found), sum(p.stat().st_size for p in found)) == (part["files"], part["size_bytes"])
+
+
+def test_a_foreign_folder_is_refused(spark, tmp_path):
+    source = write_jsonl(tmp_path / "a.jsonl", qa(5))
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "thesis.txt").write_text("x")
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileExistsError, match="holds other files"):
+        convert(spark, source, str(tmp_path / "mine"), "chat", key="id")
+    with pytest.raises(FileExistsError):
+        write_run_artifacts(spark.range(1).withColumnRenamed("id", "run_id"), spark.range(1).withColumnRenamed("id", "run_id"), str(tmp_path / "mine"))
+    assert [p.name for p in (tmp_path / "mine").iterdir()] == ["thesis.txt"]
+    assert convert(spark, source, str(tmp_path / "empty"), "chat", key="id")["total_records"] == 5
+    for n in (1, 2):
+        own = spark.range(n).withColumnRenamed("id", "run_id").withColumn("v", F.lit(n))
+        write_run_artifacts(own, own, str(tmp_path / "runs"))
+    assert spark.read.json(str(tmp_path / "runs" / "summary")).count() == 2
+
+
+def test_convert_an_empty_source(spark, tmp_path):
+    empty = spark.createDataFrame([], "id long, text string")
+    report = convert(spark, lambda s: empty, str(tmp_path / "out"), "text", ColumnMapping(text_col="text"), key="id")
+    assert report["total_records"] == 0 and report["files"] == {} == report["splits"]
+
+
 def test_preview(spark):
     df = spark.range(9).select(F.col("id").cast("string").alias("text"))
     assert [json.loads(r[0]) for r in preview(df, Format.TEXT, ColumnMapping(text_col="text")).collect()][0].keys() == {"text"}

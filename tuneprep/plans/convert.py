@@ -28,10 +28,15 @@ from tuneprep.plans.mapping import (
     parse_label_map,
     validate_mapping,
 )
-from tuneprep.sinks.records import manifest, write_gold, write_manifest, write_records
+from tuneprep.sinks.publish import published
+from tuneprep.sinks.records import MANIFEST, manifest, write_gold, write_manifest, write_records
 from tuneprep.sources.load import Dataset, load
 
 
+#: The splits that ``exact_split`` makes.
+NEW_SPLITS = ("train", "valid", "test")
+
+
 def plan_mapping(
     columns: list[str],
     fmt: Format | str | None = None,
@@ -82,8 +87,12 @@ def convert(
 ) -> dict:
     """Read, map, split, write JSON lines and a manifest; returns the manifest.
 
+    Records are counted by the tasks that write them. ``out`` takes its new content when that is
+    complete: a run that fails leaves it as it was, and a folder that holds other things than the
+    result of an earlier run is refused.
+
     ``shuffle`` writes rows in the seeded order of the split; without it rows are not
-    moved at all. ``progress`` is called with (split, records) as splits are counted.
+    moved at all. ``progress`` is called with (split, records) when they are written.
     ``encoding`` and ``multiline`` are those of ``load``; ``source`` may be a callable, too.
     """
     dataset = source if isinstance(source, Dataset) else load(spark, source, encoding, multiline)
@@ -96,16 +105,17 @@ def convert(
         rows = rows.withColumn("__order", shuffle_hash(F.coalesce(source_key, F.lit("")), config.seed))
         order = "__order"
     records = format_records(rows, fmt, mapping, keep=[SPLIT, *([order] if order else [])])
-    counts = {r[SPLIT]: r["records"] for r in split_counts(rows.select(SPLIT)).toLocalIterator()}
-    if progress:
-        for name, n in counts.items():
-            progress(name, n)
-    write_records(records, fmt, out, order)
-    if gold and counts.get("test"):
-        write_gold(records, fmt, out)
-    source_name = dataset.source
-    report = manifest(spark, out, fmt, counts, source_name, None if keep_splits else config.seed)
-    write_manifest(spark, report, out)
+    # The names of given splits are looked up; those of a new split are known.
+    names = [r[SPLIT] for r in rows.select(SPLIT).distinct().orderBy(SPLIT).toLocalIterator()] if keep_splits else list(NEW_SPLITS)
+    with published(spark, out, MANIFEST) as folder:
+        counts = {name: n for name, n in write_records(records, fmt, folder, order, names).items() if n}
+        if progress:
+            for name, n in counts.items():
+                progress(name, n)
+        if gold and counts.get("test"):
+            write_gold(records, fmt, folder)
+        report = manifest(spark, out.rstrip("/"), fmt, counts, dataset.source, None if keep_splits else config.seed, folder)
+        write_manifest(spark, report, folder)
     return report
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.operators.board import LEADERBOARD, on_board
+from tuneprep.sinks.publish import Store, published
+
+#: Marks a folder of artifacts.
+ARTIFACTS = "_artifacts"
 
 
 def append_leaderboard(rows: DataFrame, path: str) -> None:
@@ -25,6 +29,13 @@ def export_leaderboard(board: DataFrame, path: str) -> None:
 
 
 def write_run_artifacts(summaries: DataFrame, scored: DataFrame, path: str) -> None:
-    """``summary`` and ``predictions`` as JSON lines, one folder per run."""
-    summaries.write.mode("overwrite").partitionBy("run_id").json(f"{path}/summary", ignoreNullFields=False)
-    scored.write.mode("overwrite").partitionBy("run_id").json(f"{path}/predictions", ignoreNullFields=False)
+    """``summary`` and ``predictions`` as JSON lines, one folder per run.
+
+    They replace those of an earlier evaluation when both are complete; a folder that holds
+    anything else is refused.
+    """
+    spark = summaries.sparkSession
+    with published(spark, path, ARTIFACTS) as folder:
+        summaries.write.partitionBy("run_id").json(f"{folder}/summary", ignoreNullFields=False)
+        scored.write.partitionBy("run_id").json(f"{folder}/predictions", ignoreNullFields=False)
+        Store(spark, folder).make(f"{folder}/{ARTIFACTS}")
