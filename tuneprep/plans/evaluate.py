@@ -17,7 +17,8 @@ from tuneprep.operators.scoring import (
     per_class,
     score_answers,
 )
-from tuneprep.sinks.evals import append_leaderboard, write_run_artifacts
+from tuneprep.sinks.evals import ARTIFACTS, append_leaderboard, put_run_artifacts
+from tuneprep.sinks.publish import published
 
 
 @dataclass(frozen=True)
@@ -58,18 +59,20 @@ def evaluate_runs(
     """Join answers to samples, score, write artifacts and append to the leaderboard.
 
     The scored rows are written first and everything else is computed from the written
-    table, so answers are scored once and a lost executor costs only its own part.
+    table, so answers are scored once and a lost executor costs only its own part. ``artifacts``
+    takes its new content when that is complete.
     """
     spark = samples.sparkSession
-    table = f"{artifacts}/scored"
     pairs = pair_answers(samples, baseline, tuned)
-    score_answers(pairs).write.mode("overwrite").parquet(table)
-    scored = spark.read.parquet(table)
+    with published(spark, artifacts, ARTIFACTS) as folder:
+        score_answers(pairs).write.parquet(f"{folder}/scored")
+        scored = spark.read.parquet(f"{folder}/scored")
+        put_run_artifacts(eval_summary(scored), scored, folder)
+    scored = spark.read.parquet(f"{artifacts}/scored")
     cells = confusion_cells(scored)
     classes = per_class(cells)
     result = Evaluation(
         scored, eval_summary(scored), migration_matrix(scored), confusion_matrix(cells), classes, class_summary(classes)
     )
-    write_run_artifacts(result.summary, scored, artifacts)
     append_leaderboard(leaderboard_rows(result.summary, runs, result.class_summary), board)
     return result

@@ -28,14 +28,18 @@ def export_leaderboard(board: DataFrame, path: str) -> None:
     board.select(*texts).write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
 
 
+def put_run_artifacts(summaries: DataFrame, scored: DataFrame, folder: str) -> None:
+    """``summary`` and ``predictions`` as JSON lines, one folder per run, in a folder yet to be published."""
+    summaries.write.partitionBy("run_id").json(f"{folder}/summary", ignoreNullFields=False)
+    scored.write.partitionBy("run_id").json(f"{folder}/predictions", ignoreNullFields=False)
+    Store(summaries.sparkSession, folder).make(f"{folder}/{ARTIFACTS}")
+
+
 def write_run_artifacts(summaries: DataFrame, scored: DataFrame, path: str) -> None:
-    """``summary`` and ``predictions`` as JSON lines, one folder per run.
+    """``summary`` and ``predictions`` in ``path``.
 
     They replace those of an earlier evaluation when both are complete; a folder that holds
     anything else is refused.
     """
-    spark = summaries.sparkSession
-    with published(spark, path, ARTIFACTS) as folder:
-        summaries.write.partitionBy("run_id").json(f"{folder}/summary", ignoreNullFields=False)
-        scored.write.partitionBy("run_id").json(f"{folder}/predictions", ignoreNullFields=False)
-        Store(spark, folder).make(f"{folder}/{ARTIFACTS}")
+    with published(summaries.sparkSession, path, ARTIFACTS) as folder:
+        put_run_artifacts(summaries, scored, folder)
