@@ -14,6 +14,7 @@ from tuneprep.plans.convert import convert, inspect, preview
 from tuneprep.plans.mapping import ColumnMapping, Format, MappingError
 from tuneprep.sinks.evals import append_leaderboard, export_leaderboard, read_leaderboard, write_run_artifacts
 from tuneprep.sinks.records import read_manifest, write_records
+from tuneprep.sources import tar
 from tuneprep.sources.arrow_ipc import read_arrow
 from tuneprep.sources.encoding import detect_encoding, read_any_encoding
 from tuneprep.sources.evalset import read_eval_samples
@@ -260,12 +261,12 @@ def test_ids_go_on_from_file_to_file(spark, tmp_path):
 
 
 def archive(path, members, mode="w"):
-    with tarfile.open(path, mode) as tar:
+    with tarfile.open(path, mode) as out:
         for name, content in members:
             info = tarfile.TarInfo(name)
-            data = content.encode()
+            data = content if isinstance(content, bytes) else content.encode()
             info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
+            out.addfile(info, io.BytesIO(data))
     return str(path)
 
 
@@ -290,6 +291,44 @@ def test_tar_tables(spark, tmp_path):
     assert {r[SPLIT]: r["count"] for r in df.groupBy(SPLIT).count().collect()} == {"train": 8, "test": 1}
 
 
+def test_tar_members_are_read_once_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tar, "RANGE_BYTES", 40_000)
+    members = [(f"train/{'n' * 120 if i % 9 == 0 else ''}{i:05}.{f}", f"{f} {i} " + "x" * 300) for i in range(200) for f in ("txt", "cls")]
+    path = archive(tmp_path / "x.tar", members)
+    tar.index_archives(spark, [path]).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    own = index.where("name IS NOT NULL").drop("plain", "tables").crossJoin(index.where("name IS NULL").select("plain", "tables"))
+    assert index.where("name IS NULL").select("plain", "tables").collect() == [(True, False)]
+    got = tar._read_ranges(own)
+    assert got.rdd.getNumPartitions() >= 3
+    read = [(r["key"], r["field"], json.loads(r["value"])) for r in got.where("field <> '__key__'").collect()]
+    expected = [(n.split("/")[1].split(".")[0], "text" if n.endswith("txt") else "cls", c.strip()) for n, c in members]
+    assert sorted(read) == sorted(expected)
+    plan = tar.archive_records(spark, [path])._jdf.queryExecution().executedPlan().toString()
+    # One exchange deals the index to tasks, one brings the content of a sample together.
+    assert plan.count("hashpartitioning(archive") == 2, plan
+    assert load(spark, path).df.count() == 200
+
+
+@pytest.mark.parametrize("mode,name", [("w", "x.tar"), ("w:gz", "x.tar.gz")])
+def test_tar_members_in_any_encoding(spark, tmp_path, mode, name):
+    words = {"utf-8": "größe €", "cp1252": "größe € “q”", "utf-16": "größe €", "latin-1": "größe"}
+    path = archive(tmp_path / name, [(f"{e}.txt", w.encode(e)) for e, w in words.items()], mode)
+    assert {r["__key__"]: r["text"] for r in load(spark, path).df.collect()} == words
+    tables = archive(tmp_path / f"t{name}", [("train.csv", "id,w\n1,größe €\n".encode("cp1252")), ("test.jsonl", '{"id": "2", "w": "ä"}\n'.encode("utf-16"))], mode)
+    assert {(r["id"], r["w"], r[SPLIT]) for r in load(spark, tables).df.collect()} == {("1", "größe €", "train"), ("2", "ä", "test")}
+
+
+def test_tar_hot_key_and_tables_without_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tar, "HOT_MEMBERS", 5)
+    members = [("a.txt", f"v{i}") for i in range(12)] + [("a.cls", "c"), ("b.txt", "w")]
+    for name, mode in (("x.tar", "w"), ("y.tgz", "w:gz")):
+        got = {r["__key__"]: (r["text"], r["cls"]) for r in load(spark, archive(tmp_path / name, members, mode)).df.collect()}
+        assert got == {"a": ("v11", "c"), "b": ("w", None)}
+        plain = load(spark, archive(tmp_path / f"t{name}", [("t.csv", "only,header\n"), ("u.txt", "x")], mode)).df
+        assert {r["__key__"] for r in plain.collect()} == {"t", "u"}
+
+
 def test_folders(spark, tmp_path):
     d = tmp_path / "splits"
     d.mkdir()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.sources.files import filesystem, head, utf_of
+from tuneprep.sources.files import HEAD_BYTES, filesystem, head, utf_of
 
 # What is tried when a file is not UTF, in this order.
 EIGHT_BIT = ("cp1252", "latin-1", "iso-8859-15", "mac_roman")
@@ -59,6 +59,19 @@ def detect_encoding(path: str) -> str:
     return "utf-8"
 
 
+def decode_bytes(data: bytes) -> str:
+    """Text by the rules of ``detect_encoding``, for content that is in memory."""
+    names = [utf_of(data[:HEAD_BYTES]), "utf-8", *EIGHT_BIT]
+    for name in names:
+        if name is None or (name == "latin-1" and any(0x80 <= b <= 0x9F for b in data[:CONTROL_LOOKAHEAD])):
+            continue
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return data.decode("utf-8", "replace")
+
+
 def open_text(path: str, encoding: str | None = None, newline: str | None = None) -> io.TextIOWrapper:
     fs, inner = filesystem(path)
     raw = io.BufferedReader(fs.open_input_stream(inner), CHUNK)
