@@ -158,7 +158,10 @@ def test_validation_lists_everything():
     mapping = ColumnMapping(prompt_col="a + z", completion_col="y")
     assert len(validate_mapping(Format.PROMPT_COMPLETION, mapping, ["a"])) == 2
     assert validate_mapping(Format.TEXT, ColumnMapping(text_template="{a} {q}"), ["a"]) == ["The template uses columns that the dataset does not have: q."]
-    assert validate_mapping(Format.CHAT, ColumnMapping(user_col="a"), ["a"])
+    assert validate_mapping(Format.CHAT, ColumnMapping(user_col="a"), ["a"]) == ["No column is given for the assistant."]
+    assert validate_mapping(Format.CHAT, ColumnMapping(user_col="a", assistant_col="a", system_col="s"), ["a"]) == ["The dataset has no column 's' for the system."]
+    assert validate_mapping(Format.CHAT, ColumnMapping(messages_col="m + n"), ["m + n"]) == [] != validate_mapping(Format.CHAT, ColumnMapping(messages_col="m"), ["a"])
+    assert validate_mapping(Format.PROMPT_COMPLETION, ColumnMapping(prompt_template="no columns", completion_col="a"), ["a"]) == []
     assert validate_mapping(Format.DPO, ColumnMapping(), ["a"]) == [f"No column is given for the {x}." for x in ("prompt", "chosen", "rejected")]
 
 
