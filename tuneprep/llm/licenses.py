@@ -25,7 +25,7 @@ LEAST = 0.8
 
 _WORD = re.compile(r"\w+")
 _BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-_NOTICE = re.compile(r"(?:copyright|\(c\)|©)[^\n]*\d{4}[^\n]*")
+_OWNER, _YEAR = re.compile(r"copyright|\(c\)|©"), re.compile(r"\d{4}")
 
 Bigram = tuple[str, str]
 
@@ -39,10 +39,16 @@ def bigrams(text: str) -> frozenset[Bigram]:
 def _words(text: str) -> list[str]:
     text = text.lower()
     if "copyright" in text or "(c)" in text or "©" in text:
-        text = _NOTICE.sub(" ", text)
+        text = "\n".join(map(_without_notice, text.split("\n")))
     return _WORD.findall(text)
 
 
+def _without_notice(line: str) -> str:
+    """The line up to its first mark of an owner, if a year follows that mark."""
+    owner = _OWNER.search(line)
+    return line[: owner.start()] if owner and _YEAR.search(line, owner.end()) else line
+
+
 def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
 

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -107,6 +109,9 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text").to_pylist():
             spans, seen = base_spans(text), set()
+            # Spans by their start, with the farthest end up to each.
+            starts = sorted(a for _, a, _ in spans)
+            reach = list(accumulate((b for _, _, b in sorted(spans, key=lambda s: s[1])), max))
             doc += 1
             digest = _digest(text) if spans else b""
             for kind, a, b in spans:
@@ -115,7 +120,8 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = [m.span() for m in _TERM.finditer(text, max(0, a - 40 * NEAR), a)][-NEAR:]
                 right = [m.span() for _, m in zip(range(NEAR), _TERM.finditer(text, b, b + 40 * NEAR), strict=False)]
                 for x, y in left + right:
-                    if not any(s[1] < y and x < s[2] for s in spans):
+                    before = bisect_left(starts, y)
+                    if not before or reach[before - 1] <= x:
                         seen.add((entity, doc, digest, text[x:y].lower()))
             rows.extend(seen)
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
