@@ -129,6 +129,19 @@ def sample_archive(path: str, batches: Batches) -> None:
                 _add(archive, f"{row['split']}/.hidden.txt", b"ignored")
 
 
+def text_archive(encoding: str) -> Callable[[str, Batches], None]:
+    """An archive, not compressed, with a text file for each row."""
+
+    def write(path: str, batches: Batches) -> None:
+        fs, inner = filesystem(path)
+        with fs.open_output_stream(inner) as out, tarfile.open(fileobj=out, mode="w|") as archive:
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                    _add(archive, f"{doc_id}.txt", text.encode(encoding))
+
+    return write
+
+
 def table_archive(path: str, batches: Batches) -> None:
     """An archive with a JSONL table of its rows, and a file that does not count."""
     lines = io.BytesIO()

@@ -136,6 +136,19 @@ def encoding_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def encoding_8bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, and members of archives, in the 8-bit encoding of Windows."""
+    text = F.concat(F.lit("€ “"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x21-\x7E\u00A1-\u00FF]+", " "), F.lit("”"))
+    docs = _documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    lines = docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text").alias("line"))
+    read = read_any_encoding(spark, listing(files.write_files(lines, _folder(spark, "cp1252"), ".txt", files.encoded_lines("cp1252")))[0])
+    own = read.select(
+        F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.substring_index("line", "\t", -1).alias("text"), "encoding"
+    )
+    members = load(spark, files.write_files(docs, _folder(spark, "cp1252-tar"), ".tar", files.text_archive("cp1252"))).df
+    return own.union(members.select(F.col("__key__").cast("bigint"), "text", F.lit("member")))
+
+
 def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files with a delimiter each of its own, and one without."""
     kinds = {"de": "\t", "en": " :: ", "es": " | ", "fr": " || "}
@@ -314,6 +327,7 @@ QUERIES = {
     "webdataset_group": webdataset_group,
     "tar_tables": tar_tables,
     "encoding_ingest": encoding_ingest,
+    "encoding_8bit": encoding_8bit,
     "delimited_text": delimited_text,
     "csv_tsv_text_scan": csv_tsv_text_scan,
     "jsonl_roundtrip": jsonl_roundtrip,
@@ -345,6 +359,8 @@ SQL = {
     "tar_tables": "SELECT conv_id, turn, role, text FROM conversations",
     "encoding_ingest": f"""SELECT doc_id, {_ONE_LINE} AS text,
         CASE doc_id % 6 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENCODING_NAMES))} END AS encoding FROM documents""",
+    "encoding_8bit": r"""SELECT doc_id, '€ “' || regexp_replace(coalesce(text, ''), '[^\x21-\x7E\x{00A1}-\x{00FF}]+', ' ', 'g') || '”' AS text,
+        unnest(['cp1252', 'member']) AS encoding FROM documents""",
     "delimited_text": f"""WITH t AS (SELECT {_ONE_LINE} AS line, source, CASE lang WHEN 'de' THEN chr(9) WHEN 'en' THEN ' :: ' WHEN 'es' THEN ' | ' ELSE ' || ' END AS d
         FROM documents) SELECT line AS prompt, source AS completion, line || d || source AS text FROM t WHERE line <> ''""",
     "csv_tsv_text_scan": """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment || ', "quoted"' AS note, unnest(['csv', 'tsv']) AS origin FROM customer
