@@ -3,6 +3,7 @@
 import bz2
 import gzip
 import json
+import os
 import re
 
 import numpy as np
@@ -112,3 +113,15 @@ def test_samples_keep_their_line_over_ranges(spark, tmp_path, monkeypatch):
     (tmp_path / "t.jsonl").write_text("\n".join(own))
     got = {r["id"]: r["prompt"] for r in read_eval_samples(spark, [str(tmp_path / "t.jsonl")]).collect()}
     assert got == {i + 1: f"p{i}" for i in range(400) if i % 7}
+    first = read_eval_samples(spark, [str(tmp_path / "t.jsonl")], limit=9).collect()
+    assert [r["id"] for r in first] == sorted(got)[:9]
+
+
+def test_scratch_is_removed(spark):
+    from tuneprep.session import clear_scratch, local_path, scratch_dir
+
+    clear_scratch(spark)
+    folders = [scratch_dir(spark, "gone") for _ in range(3)]
+    for folder in folders[:2]:
+        spark.range(3).write.parquet(folder)
+    assert clear_scratch(spark) == 2 and not any(os.path.exists(local_path(f)) for f in folders)

@@ -42,6 +42,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 _shipped: set[str] = set()
+_scratch: dict[str, list[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -74,7 +75,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of '{master}' share")
         base = tempfile.mkdtemp(prefix="tuneprep-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tuneprep/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/tuneprep/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders made by this process for this application; returns how many there were.
+
+    DataFrames of this library read from them, so call it when their results are written.
+    """
+    folders = _scratch.pop(spark.sparkContext.applicationId, [])
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    return sum(bool(path(f).getFileSystem(conf).delete(path(f), True)) for f in folders)
 
 
 def local_path(uri: str) -> str:
