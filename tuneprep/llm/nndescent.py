@@ -34,7 +34,7 @@ CHUNK = 512
 #: The rounds end when at most this share of all edges is new, or after ROUNDS.
 SETTLED, ROUNDS = 0.004, 10
 #: Nodes of a beam, those looked at in one round, and pivots at which a search starts.
-BEAM, STEP, STARTS = 48, 12, 16
+BEAM, STEP, STARTS = 256, 64, 16
 #: Pairs whose distances are worked out at once.
 PAIRS = 1 << 14
 
