@@ -80,6 +80,31 @@ def test_nulls_blanks_repeats_long_texts_and_more_columns(spark):
     assert sorted((r["doc_id"] or 0) for r in stay.collect()) == [0, 1, 2, 3, 4, 6, 8, 9]
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    lone = " ".join(f"v{k}" for k in range(60))
+    rows = [(5, lone), (9, lone), (5, near), (3, " ".join(words)), (5, near), (7, "q")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect())
+    assert got == [(3, 58, 3, True), (5, 58, 3, False), (5, 58, 3, False), (5, 58, 5, True), (7, 1, 7, True), (9, 58, 5, False)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "map('a', doc_id) AS number", "parse_json('{}') AS first")
+    stay = drop_near_duplicates(df, 3, 85)
+    assert stay.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in stay.select("doc_id", "text").collect()) == [(3, " ".join(words)), (5, lone), (7, "q")]
+
+
+def test_columns_of_any_type_stay(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d"), (None, "d")], SCHEMA)
+    df = df.selectExpr("*", "map('a', doc_id) AS tags", "parse_json('{}') AS meta")
+    stay = drop_near_duplicates(df, 3, 85)
+    assert stay.columns == df.columns and sorted(r["doc_id"] or 0 for r in stay.select("doc_id").collect()) == [0, 1, 3]
+
+
+def test_one_row_of_an_id_and_text_stays(spark):
+    df = spark.createDataFrame([(1, "a b c", "y"), (1, "a b c", "x"), (2, "d", None)], f"{SCHEMA}, source string")
+    assert sorted(map(tuple, drop_near_duplicates(df, 3, 85).collect())) == [(1, "a b c", "x"), (2, "d", None)]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

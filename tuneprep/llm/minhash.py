@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneprep.llm.components import components
@@ -40,6 +40,8 @@ BITS = 16
 MISS = 1e-6
 #: Classes outside the largest component, and classes of the group, that a task compares.
 BLOCK, GROUP_BLOCK = 256, 1024
+#: Parts of a group in the join with its totals.
+SALTS = 16
 #: Distinct shingles that are columns of a matrix at once.
 COLUMNS = 4096
 #: Bits of the map of classes that are in some bucket, and the most classes for which it is used.
@@ -240,17 +242,17 @@ def _block_linker(percent: int):
     return link
 
 
-def _sets(texts: DataFrame, repeated: bool, members: DataFrame, size: int) -> DataFrame:
-    """Rows (rep, shingles) of at least the members. ``repeated``: ids of ``texts`` repeat.
+def _sets(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """Rows (rep, shingles) of at least the members; ids of ``texts`` do not repeat.
 
     Up to FILTER_MEMBERS of them a bit map of FILTER_BITS bits, in which each member's hash is
     set, reaches every task, and texts are not moved; a few others pass it, which does no harm.
-    More members, or ids that repeat, take a join.
+    More members take a join.
     """
     schema = "rep long, shingles binary"
     members = written(members, "members")
-    if repeated or members.count() > FILTER_MEMBERS:
-        own = texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates()
+    if members.count() > FILTER_MEMBERS:
+        own = texts.join(members, F.col("doc_id") == F.col("rep"), "left_semi")
         return written(own.mapInArrow(_setter(size), schema), "sets")
     places = members.select((F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1).alias("place"))
     maps = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
@@ -268,6 +270,29 @@ def _sets(texts: DataFrame, repeated: bool, members: DataFrame, size: int) -> Da
     return written(placed.mapInArrow(passing, schema), "sets")
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The ids of more than one row."""
+    return rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+
+def _by_row(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows (doc_id, text_md5, n_shingles, component, component_id) where ids may repeat: each row has a number of its own.
+
+    ``component`` tells groups apart, ``component_id`` is the least id of the group.
+    """
+    named = texts.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    named = written(named, "rows")
+    found = near_duplicates(named.select(F.col("row").alias("doc_id"), "text"), size, percent)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component"))
+    known = written(named.select("row", "doc_id", _text_md5(F.col("text")).alias("text_md5")).join(found, "row"), "row-components")
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return known.join(least, "component")
+
+
+def _text_md5(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Rows (``doc_id``, ``n_shingles``, ``component_id``, ``kept``), one for each row of ``docs``.
 
@@ -277,12 +302,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     * A null or blank text has an empty set and is linked with nothing.
     * A row whose ``doc_id`` is null is linked with nothing; its component is null and it is kept.
-    * Repeated rows have the same set, so each of them gets the same component.
+    * Rows that share a ``doc_id`` are documents of their own: equal texts are one set and get
+      the same component, different texts are linked only as their sets are.
     * Other columns are not read. An empty table gives no rows.
     """
     radius = radius_for(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(texts.mapInArrow(_signer(size), SIGNED), "signed")
+    if not is_empty(_repeated(signed)):
+        nameless = signed.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        shared = _by_row(texts, size, percent).select("doc_id", "n_shingles", "component_id")
+        return shared.union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     usable = signed.where("n > 0 and doc_id is not null")
     classes = written(
         usable.groupBy("class_a", "class_b").agg(
@@ -304,8 +334,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     buckets = written(met.join(centres, "key").select("key", "rep", "centre"), "buckets")
 
-    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = not is_empty(ids.where("n > 1"))
     short = classes.select("rep", "n", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -314,7 +342,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         near = sided.mapInArrow(_near(radius, percent), "a long, b long")
         near = written(near, "near")
         # Most classes that share a bucket are not within the radius, and need no set.
-        sets = _sets(texts, repeated, near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size)
+        sets = _sets(texts, near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size)
         both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return both.mapInArrow(_linker(percent), "a long, b long")
 
@@ -334,7 +362,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .where("kinds > 1")
         .select("centre", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.many")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / GROUP_BLOCK).alias("parts"))
     )
-    rows = written(everyone.join(main, "centre"), "apart")
+    # A group may hold a large part of all rows, so the join is salted.
+    main = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = everyone.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(SALTS)).cast("int"))
+    rows = written(salted.join(main, ["centre", "salt"]).drop("salt"), "apart")
     # Every block of the rest of a group meets every part of the group.
     minor = rows.where("comp != main").select(
         "centre", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "rep", "comp", F.lit(True).alias("minor")
@@ -345,7 +376,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     blocks = minor.union(other).join(short, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
     keys = "centre long, block long, part long, rep long, comp long, minor boolean"
     flagged = written(blocks.select(*_BLOCK_KEYS, "rep", "comp", "minor", "n", "sig").mapInArrow(_flagger(radius, percent), keys), "flagged")
-    sets = _sets(texts, repeated, flagged.select("rep").distinct(), size)
+    sets = _sets(texts, flagged.select("rep").distinct(), size)
     whole = flagged.join(sets, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
     more = whole.select(*_BLOCK_KEYS, "rep", "comp", "minor", "shingles").mapInArrow(_block_linker(percent), "a long, b long")
     final = written(components(links.union(more), "a", "b"), "components")
@@ -364,10 +395,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each is the least ``doc_id`` of its group; repeated rows count once.
+    """One row of each group, with all columns: the one of the least ``doc_id``.
 
-    Rows whose ``doc_id`` is null are in no group and stay.
+    * Rows whose ``doc_id`` is null are in no group and stay.
+    * Of several rows with one ``doc_id`` and one text one stays, that whose columns are least
+      as JSON. Different texts of one ``doc_id`` stay or go on their own.
+    * Other columns may have any type; they are not compared unless ids repeat.
     """
-    found = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(found, "doc_id", "left_semi").dropDuplicates()
-    return stay.unionByName(docs.where("doc_id is null"))
+    nameless = docs.where("doc_id is null")
+    if is_empty(_repeated(docs)):
+        found = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id")
+        return docs.join(found, "doc_id", "left_semi").unionByName(nameless)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    groups = _by_row(texts, size, percent).groupBy("component").agg(F.min(F.struct("doc_id", "text_md5")).alias("first"))
+    first = written(groups.select(F.col("first.doc_id").alias("id"), F.col("first.text_md5").alias("text_md5")).distinct(), "first")
+    own = _text_md5(docs["text"].cast("string"))
+    stay = docs.join(first, (docs["doc_id"] == first["id"]) & (own == first["text_md5"]), "left_semi")
+    number = "number"
+    while number in docs.columns:
+        number += "_"
+    columns = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    order = Window.partitionBy("doc_id", _text_md5(F.col("text").cast("string"))).orderBy(columns)
+    stay = stay.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
+    return stay.unionByName(nameless)
