@@ -14,11 +14,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 
+# Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana and Han. Each character is a word.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_DENSE_CHAR = re.compile(f"[{_DENSE}]")
 _WORD = re.compile(r"\w+")
+_WORD_OR_CHAR = re.compile(rf"[{_DENSE}]|[^\W{_DENSE}]+")
 #: Items of one block.
 BLOCK = 4
 K1, B = 1.2, 0.75
@@ -27,19 +32,39 @@ SLACK = 1e-5
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of word characters; in scripts without blanks, single characters."""
+    if not text:
+        return []
+    text = text.lower()
+    pattern = _WORD if text.isascii() or not _DENSE_CHAR.search(text) else _WORD_OR_CHAR
+    return pattern.findall(text)
+
+
+@dataclass
+class Statistics:
+    """Of all items: how many hold each word, how many there are, their mean number of words."""
+
+    df: Mapping[str, int]
+    total: int
+    mean: float
 
 
 class Index:
-    """``items`` are lists of words; an item's number is its place in them."""
+    """``items`` are lists of words; an item's number is its place in them.
+
+    Where the items are a part of a larger collection, ``known`` holds the statistics of all of it,
+    so an item's impacts do not depend on the part it is in.
+    """
 
-    def __init__(self, items: Sequence[list[str]]) -> None:
+    def __init__(self, items: Sequence[list[str]], known: Statistics | None = None) -> None:
         counts = [Counter(words) for words in items]
         df = Counter(w for c in counts for w in c)
         total = len(items)
         self.terms = {w: k for k, w in enumerate(sorted(df))}
-        idf = {w: math.log(1 + (total - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        mean = max(1.0, sum(map(len, items)) / max(1, total))
+        if known is None:
+            known = Statistics(df, total, sum(map(len, items)) / max(1, total))
+        idf = {w: math.log(1 + (known.total - known.df[w] + 0.5) / (known.df[w] + 0.5)) for w in df}
+        mean = max(1.0, known.mean)
         impacts = []
         for words, c in zip(items, counts, strict=True):
             norm = K1 * (1 - B + B * len(words) / mean)
