@@ -117,6 +117,38 @@ def test_samples_keep_their_line_over_ranges(spark, tmp_path, monkeypatch):
     assert [r["id"] for r in first] == sorted(got)[:9]
 
 
+def test_small_files_share_tasks_and_are_read_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "FILES_PER_TASK", 40)
+    for run in range(130):
+        (tmp_path / f"run_id={run:03}").mkdir()
+        (tmp_path / f"run_id={run:03}" / "part.txt").write_text(f"a{run}\nb{run}\n")
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "x.txt").write_text("hidden\n")
+    loaded = []
+    load = L._load
+    monkeypatch.setattr(L, "_load", lambda spark, ranges, count: loaded.append(count) or load(spark, ranges, count))
+    df = L.numbered_lines(spark, [str(tmp_path)])
+    # No number depends on another file, so nothing is counted first.
+    assert loaded == [False] and df.rdd.getNumPartitions() == 4
+    got = sorted((r["file"].rsplit("/", 2)[1], r["line_no"], r["line"]) for r in df.collect())
+    assert got == [(f"run_id={run:03}", k + 1, f"{x}{run}") for run in range(130) for k, x in enumerate("ab")]
+    across = L.numbered_lines(spark, [str(tmp_path)], across=True)
+    assert [r["line"] for r in across.orderBy("line_no").collect()] == [f"{x}{run}" for run in range(130) for x in "ab"]
+
+
+def test_many_runs_are_few_log_files(spark, tmp_path, monkeypatch):
+    from tuneprep.queries import sources
+
+    monkeypatch.setattr(sources, "_folder", lambda spark, name: str(tmp_path / name))
+    events = "event_id bigint, user_id bigint, event_type string, value double"
+    rows = [(i, i % 300, "view", float(i)) for i in range(900)] + [(900, None, "click", 1.5)]
+    spark.createDataFrame(rows, events).write.parquet(f"{tmp_path}/events.parquet")
+    df = sources.training_log_scan(spark, str(tmp_path))
+    assert len(list((tmp_path / "logs").rglob("*.txt"))) <= 4
+    got = {(r["run_id"], r["step"], r["metric"]): r["value"] for r in df.collect()}
+    assert got == {(i % 300, i // 10, "val"): float(i) for i in range(900)} | {(None, 90, "train"): 1.5}
+
+
 def test_scratch_is_removed(spark):
     from tuneprep.session import clear_scratch, local_path, scratch_dir
 

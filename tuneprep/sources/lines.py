@@ -1,9 +1,10 @@
 """Numbered lines of text files, as a Spark data source.
 
-Files are cut into ranges of ``RANGE_BYTES`` here, not by Spark's planning: a range is one input
-partition, whatever the session's settings are. One pass counts the lines that begin in each
-range; every range then knows the number of its first line, so a second pass numbers lines
-where they are read. Nothing is joined and no line moves.
+Files are cut into ranges of ``RANGE_BYTES`` here, not by Spark's planning, whatever the session's
+settings are: a range is one input partition, and so are many small files together. One pass
+counts the lines that begin in the ranges on which a later number depends; every range then knows
+the number of its first line, so a second pass numbers lines where they are read. Nothing is
+joined and no line moves.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tuneprep.session import scratch_dir
-from tuneprep.sources.files import filesystem, is_dir, listing
+from tuneprep.sources.files import filesystem
 
 #: Bytes of a file that are one task (more than a byte-order mark has).
 RANGE_BYTES = 64 << 20
+#: Tasks that read small files open this many at most.
+FILES_PER_TASK = 256
 #: Bytes read at once.
 CHUNK_BYTES = 4 << 20
 _STREAMED = (".gz", ".bz2", ".zst")
@@ -30,7 +34,7 @@ _MARK = b"\xef\xbb\xbf"
 
 
 @dataclass
-class LineRange(InputPartition):
+class LineRange:
     """The lines of ``file`` that begin in [start, stop); a compressed file is one range."""
 
     part: int
@@ -41,32 +45,57 @@ class LineRange(InputPartition):
     first: int = 1
 
 
-def _files(path: str) -> Iterator[str]:
-    if not is_dir(path):
-        yield path
+@dataclass
+class LineRanges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[LineRange]
+
+
+def _files(path: str) -> Iterator[tuple[str, int]]:
+    """Files at or under a path with their sizes, from one listing; names that begin with a dot or underscore are left out."""
+    fs, inner = filesystem(path)
+    info = fs.get_file_info(inner)
+    if info.is_file:
+        yield path, info.size
         return
-    files, folders = listing(path)
-    yield from files
-    for folder in folders:
-        yield from _files(folder)
+    if info.type != pafs.FileType.Directory:
+        raise FileNotFoundError(path)
+    base, cut = path.rstrip("/"), len(inner.rstrip("/"))
+    for found in fs.get_file_info(pafs.FileSelector(inner, recursive=True)):
+        name = found.path[cut:]
+        if found.is_file and not any(part.startswith((".", "_")) for part in name.split("/")):
+            yield base + name, found.size
 
 
 def _ranges(paths: Sequence[str]) -> list[LineRange]:
     found: list[LineRange] = []
-    for file in sorted({f for path in paths for f in _files(path)}):
+    for file, size in sorted({f for path in paths for f in _files(path)}):
         if file.lower().endswith(_UNKNOWN):
             raise ValueError(f"lines of '{file}' cannot be numbered: its compression is not known here")
-        fs, inner = filesystem(file)
-        info = fs.get_file_info(inner)
-        if not info.is_file:
-            raise FileNotFoundError(file)
-        step = max(1, info.size) if file.lower().endswith(_STREAMED) else RANGE_BYTES
-        found += [LineRange(0, file, info.size, at, min(at + step, info.size)) for at in range(0, info.size, step)]
+        step = max(1, size) if file.lower().endswith(_STREAMED) else RANGE_BYTES
+        found += [LineRange(0, file, size, at, min(at + step, size)) for at in range(0, size, step)]
     for k, r in enumerate(found):
         r.part = k
     return found
 
 
+def _packed(ranges: Sequence[LineRange]) -> list[list[LineRange]]:
+    """Neighbouring ranges as tasks of ``RANGE_BYTES`` and ``FILES_PER_TASK`` at most."""
+    tasks: list[list[LineRange]] = []
+    room = 0
+    for r in ranges:
+        bytes_ = r.stop - r.start
+        # A compressed file is read on its own.
+        alone = r.file.lower().endswith(_STREAMED)
+        if not tasks or alone or bytes_ > room or len(tasks[-1]) >= FILES_PER_TASK:
+            tasks.append([])
+            room = RANGE_BYTES
+        tasks[-1].append(r)
+        room = 0 if alone else room - bytes_
+    return tasks
+
+
 class _Pieces:
     """Bytes read in pieces, given out again as blocks of whole lines joined by a newline.
 
@@ -161,20 +190,24 @@ class _LineReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, inner = filesystem(self.plan)
         with fs.open_input_stream(inner) as f:
-            return [LineRange(**r) for r in json.loads(f.read())]
+            return [LineRanges([LineRange(**r) for r in task]) for task in json.loads(f.read())]
 
-    def read(self, partition: LineRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # what Spark asks for if there is no range
-            return
-        if self.count:
-            n = sum(block.count(b"\n") + 1 for block in _blocks(partition))
-            yield pa.RecordBatch.from_arrays([pa.array([partition.part]), pa.array([n])], names=["part", "lines"])
-            return
-        first = partition.first
-        for block in _blocks(partition):
+    def read(self, partition: LineRanges | None) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges if partition else ():  # None is what Spark asks for if there is no range
+            yield from self._count(r) if self.count else self._numbered(r)
+
+    @staticmethod
+    def _count(r: LineRange) -> Iterator[pa.RecordBatch]:
+        n = sum(block.count(b"\n") + 1 for block in _blocks(r))
+        yield pa.RecordBatch.from_arrays([pa.array([r.part]), pa.array([n])], names=["part", "lines"])
+
+    @staticmethod
+    def _numbered(r: LineRange) -> Iterator[pa.RecordBatch]:
+        first = r.first
+        for block in _blocks(r):
             lines = _lines(block)
             numbers = pa.array(range(first, first + len(lines)), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.repeat(partition.file, len(lines)), numbers, lines], names=["file", "line_no", "line"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(r.file, len(lines)), numbers, lines], names=["file", "line_no", "line"])
             first += len(lines)
 
 
@@ -200,7 +233,7 @@ def _load(spark: SparkSession, ranges: list[LineRange], count: bool) -> DataFram
     fs, inner = filesystem(folder)
     fs.create_dir(inner, recursive=True)
     with fs.open_output_stream(f"{inner}/plan.json") as f:
-        f.write(json.dumps([asdict(r) for r in ranges]).encode())
+        f.write(json.dumps([[asdict(r) for r in task] for task in _packed(ranges)]).encode())
     return spark.read.format("numbered_lines").option("plan", f"{folder}/plan.json").option("count", str(count).lower()).load()
 
 
@@ -210,17 +243,17 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str], across: bool = Fal
     Folders are read with all that is in them, names that begin with a dot or underscore left
     out. With ``across`` the count goes on from file to file in the order of their paths. Lines
     end at CR, LF or both. Bytes that are not UTF-8 become U+FFFD; a byte-order mark is no text.
-    gzip, bzip2 and zstandard files are one task each. A file that has changed its size when it
+    gzip, bzip2 and zstandard files are one task each; other small files share tasks. A file that has changed its size when it
     is read is an error. No file, or only empty ones, give no rows.
     """
     spark.dataSource.register(NumberedLines)
     ranges = _ranges(paths)
-    if ranges:
-        # One number for each range comes to the driver.
-        counts = {row["part"]: row["lines"] for row in _load(spark, ranges, count=True).collect()}
-        number, file = 1, None
-        for r in ranges:
-            if r.file != file and not across:
-                number = 1
-            r.first, number, file = number, number + counts[r.part], r.file
+    # Only what another number is counted on from. One number for each such range comes to the driver.
+    needed = [r for r, after in zip(ranges, ranges[1:], strict=False) if across or r.file == after.file]
+    counts = {row["part"]: row["lines"] for row in _load(spark, needed, count=True).collect()} if needed else {}
+    number, file = 1, None
+    for r in ranges:
+        if r.file != file and not across:
+            number = 1
+        r.first, number, file = number, number + counts.get(r.part, 0), r.file
     return _load(spark, ranges, count=False)
