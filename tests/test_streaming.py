@@ -142,6 +142,34 @@ def test_points_of_a_silent_run_settle(spark, tmp_path):
     assert got == {"a": (20, True), "b": (None, True)}
 
 
+def test_a_run_costs_two_messages_about_its_state():
+    from pyspark.sql import Row
+    from tuneprep.streaming.logs import _RiseWatch
+
+    class Handle:
+        """One value; each access is a message to the JVM."""
+
+        def __init__(self):
+            self.value, self.messages = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.messages.append("get")
+            return self.value
+
+        def update(self, value):
+            self.messages.append("update")
+            self.value = value
+
+    handle, watch, told = Handle(), _RiseWatch(2, None), []
+    watch.init(handle)
+    for steps in ([(10, 2.0), (30, 3.0)], [(20, 1.0), (None, 1.0)], [(40, 0.8), (50, 2.0)]):
+        told.append([r.stop_step for r in watch.handleInputRows(("a",), iter([Row("a", step, 0, loss) for step, loss in steps]), None)])
+    assert told == [[30], [], [30]] and handle.messages == ["get", "update"] * 3
+
+
 def test_the_table_of_last_rows_stays_small(spark, tmp_path):
     path = str(tmp_path / "t")
     expected = {}

@@ -6,8 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import astuple, dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -91,9 +90,11 @@ class _Curve:
 class _RiseWatch(StatefulProcessor):
     """Follows a run's validation loss in the order of its steps.
 
-    ``curve`` sums up the points that have settled: (last step, previous, minimum, rose, step and
-    loss of the stop, told stop, points too late). ``waiting`` holds the points with the largest
-    steps, ``wait`` of them at most, among which a late one still finds its place.
+    The state sums up the points that have settled: (last step, previous, minimum, rose, step and
+    loss of the stop, told stop, points too late). With it are the points with the largest
+    steps, ``wait`` of them at most, among which a late one still finds its place. It is one
+    value, and rows are no frames, because most runs have few points in a batch: each access to
+    the state is a message to the JVM.
     """
 
     def __init__(self, wait: int, idle_ms: int | None) -> None:
@@ -101,63 +102,56 @@ class _RiseWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.curve = handle.getValueState(
-            "curve", "step long, previous double, low double, rose boolean, stop_step long, stop_loss double, told long, late long"
+        self.state = handle.getValueState(
+            "run",
+            "step long, previous double, low double, rose boolean, stop_step long, stop_loss double, told long, late long, "
+            "steps array<long>, seqs array<long>, losses array<double>",
         )
-        self.waiting = handle.getListState("waiting", "step long, seq long, val_loss double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        curve = _Curve(*self.curve.get()) if self.curve.exists() else _Curve()
+    def _stored(self) -> tuple[_Curve, dict[int, tuple[int, float]]]:
+        stored = self.state.get()
+        if stored is None:
+            return _Curve(), {}
+        *curve, steps, seqs, losses = stored
+        return _Curve(*curve), dict(zip(steps, zip(seqs, losses, strict=True), strict=True))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        curve, points = self._stored()
         if curve.stop_step is not None:
             return
-        points = {step: (seq, loss) for step, seq, loss in self.waiting.get()}
         late = curve.late
-        for frame in rows:
-            frame = frame.dropna(subset=["step", "val_loss"])
-            for step, seq, loss in zip(frame["step"].tolist(), frame["seq"].fillna(0).tolist(), frame["val_loss"].tolist(), strict=True):
-                if curve.step is not None and step <= curve.step:
-                    curve.late += 1
-                elif step not in points or seq >= points[step][0]:
-                    points[int(step)] = (int(seq), loss)
+        for _, step, seq, loss in rows:
+            if step is None or loss is None or loss != loss:
+                continue
+            if curve.step is not None and step <= curve.step:
+                curve.late += 1
+            elif step not in points or (seq or 0) >= points[step][0]:
+                points[step] = (seq or 0, loss)
         ordered = sorted(points)
         settled = max(0, len(ordered) - self.wait)
         curve.follow((step, points[step][1]) for step in ordered[:settled])
-        self._keep(curve, [(step, *points[step]) for step in ordered[settled:]])
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield from self._tell(key, curve, [(step, points[step][1]) for step in ordered[settled:]], curve.late > late)
+        yield from self._tell(key, curve, [(step, *points[step]) for step in ordered[settled:]], curve.late > late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A run that has been silent: all its points settle."""
-        curve = _Curve(*self.curve.get()) if self.curve.exists() else _Curve()
+        curve, points = self._stored()
         if curve.stop_step is None:
-            curve.follow((step, loss) for step, _, loss in sorted(self.waiting.get()))
-            self._keep(curve, [])
+            curve.follow((step, loss) for step, (_, loss) in sorted(points.items()))
             yield from self._tell(key, curve, [], True)
 
-    def _keep(self, curve: _Curve, waiting: list[tuple[int, int, float]]) -> None:
-        if curve.stop_step is not None or not waiting:
-            self.waiting.clear()
-        else:
-            self.waiting.put(waiting)
-
-    def _tell(self, key, curve: _Curve, waiting: list[tuple[int, float]], always: bool) -> Iterator[pd.DataFrame]:
+    def _tell(self, key, curve: _Curve, waiting: list[tuple[int, int, float]], always: bool) -> Iterator[Row]:
         seen = replace(curve)
-        seen.follow(iter(waiting))
+        seen.follow((step, loss) for step, _, loss in waiting)
+        settled = curve.stop_step is not None or not waiting
         if always or seen.stop_step != curve.told or curve.stop_step is not None:
-            yield pd.DataFrame(
-                {
-                    "run_id": [key[0]],
-                    "stop_step": pd.array([seen.stop_step], dtype="Int64"),
-                    "val_loss": [seen.stop_loss],
-                    "settled": [curve.stop_step is not None or not waiting],
-                    "late": [curve.late],
-                }
-            ).astype({"val_loss": "float64"})
+            yield Row(run_id=key[0], stop_step=seen.stop_step, val_loss=seen.stop_loss, settled=settled, late=curve.late)
         curve.told = seen.stop_step
-        self.curve.update(astuple(curve))
+        columns = zip(*waiting, strict=True) if waiting and curve.stop_step is None else ((), (), ())
+        self.state.update((*astuple(curve), *map(list, columns)))
 
     def close(self) -> None:
         pass
@@ -196,7 +190,7 @@ def overfit_alerts(points: DataFrame, wait: int = 1000, idle_seconds: float | No
     if "seq" not in points.columns:
         points = points.withColumn("seq", F.lit(0))
     points = points.select("run_id", F.col("step").cast("long").alias("step"), F.col("seq").cast("long").alias("seq"), F.col("val_loss").cast("double").alias("val_loss"))
-    return points.groupBy("run_id").transformWithStateInPandas(
+    return points.groupBy("run_id").transformWithState(
         statefulProcessor=_RiseWatch(wait, None if idle_seconds is None else int(idle_seconds * 1000)),
         outputStructType="run_id string, stop_step long, val_loss double, settled boolean, late long",
         outputMode="Update",
