@@ -153,3 +153,18 @@ def test_answers_stay_in_the_jvm(spark):
     df = spark.createDataFrame([("g", "b", "m")], "golden string, baseline_output string, model_output string")
     plan = score_answers(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_shared_words_are_counted_with_their_copies(spark):
+    from collections import Counter
+
+    from tuneprep.functions.text import shared_words
+
+    rng = random.Random(7)
+    some = lambda: [rng.choice(["a", "b", "é", "😀", "a b", "", None]) for _ in range(rng.randint(0, 12))]
+    rows = [(some(), some()) for _ in range(300)] + [(None, ["a"]), (["a"], None), ([], []), ([None], [None]), (["a", None], ["a", None])]
+    df = spark.createDataFrame(rows, "l array<string>, r array<string>").select(shared_words("l", "r").alias("n"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+    counts = [[None if side is None else Counter(w for w in side if w is not None) for side in row] for row in rows]
+    assert [r["n"] for r in df.collect()] == [None if a is None or b is None else sum((a & b).values()) for a, b in counts]

@@ -1,16 +1,14 @@
 """Text columns: stripping, answer normalisation, answer comparison.
 
-Everything is a built-in expression, except for the word overlap, which works on Arrow batches.
+Everything is a built-in expression, so scoring stays in the JVM.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 # The characters str.strip() and str.split() treat as blank, the ASCII
 # punctuation, and the articles dropped from answers.
@@ -95,30 +93,44 @@ def substring_match(
     return F.coalesce((p != "") & (g != "") & hit, F.lit(False))
 
 
-@F.arrow_udf(IntegerType())
-def _shared_words(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Words are numbered once for a batch, then counted by (row, word) on both sides."""
-    words = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
-    codes = pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = np.concatenate([pc.list_parent_indices(side).to_numpy() for side in (left, right)])
-    cells = rows * max(len(words.dictionary), 1) + codes
-    cut = len(left.flatten())
-    sides = (slice(0, cut), slice(cut, None))
-    (lc, ln), (rc, rn) = (np.unique(cells[s][codes[s] >= 0], return_counts=True) for s in sides)
-    both, i, j = np.intersect1d(lc, rc, assume_unique=True, return_indices=True)
-    shared = np.zeros(len(left), dtype=np.int32)
-    np.add.at(shared, both // max(len(words.dictionary), 1), np.minimum(ln[i], rn[j]).astype(np.int32))
-    missing = pc.or_(left.is_null(), right.is_null()).to_numpy(zero_copy_only=False)
-    return pa.array(shared, mask=missing)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used, in lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_counts(words: Column) -> Column:
+    """Word -> number of its copies. The words are sorted; a word's copies are those from where it
+    starts up to where the next one does."""
+
+    def counted(ordered: Column) -> Column:
+        def starts(i: Column) -> Column:
+            word = F.get(ordered, i)
+            return word.isNotNull() & ((i == 0) | ~word.eqNullSafe(F.get(ordered, i - 1)))
+
+        # The last number is one too many: it is no place of a word.
+        places = F.filter(F.sequence(F.lit(0), F.size(ordered)), starts)
+        return _let(
+            places,
+            lambda p: F.map_from_arrays(
+                F.transform(p, lambda i: F.get(ordered, i)),
+                F.transform(p, lambda i, k: F.coalesce(F.get(p, k + 1), F.size(ordered)) - i),
+            ),
+        )
+
+    return _let(F.sort_array(words), counted)
 
 
 def shared_words(left: Column | str, right: Column | str) -> Column:
     """Size of the multiset intersection of two word arrays; a null array gives null.
 
-    Evaluated on Arrow batches: one sort of the numbered words of a batch, so answers of
-    tens of thousands of words stay cheap. Null words match nothing.
+    Copies are counted on each side and the counts met by a hash of their words, so answers of
+    tens of thousands of words stay cheap. Equal sides are not counted at all. Null words match
+    nothing.
     """
-    return _shared_words(col_of(left), col_of(right))
+    left, right = col_of(left), col_of(right)
+    least = F.map_zip_with(word_counts(left), word_counts(right), lambda _, a, b: F.least(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))))
+    shared = F.aggregate(F.map_values(least), F.lit(0), lambda acc, n: acc + n)
+    return F.when(left == right, F.size(F.array_compact(left))).otherwise(shared)
 
 
 def round_half_even(x: Column | str, digits: int) -> Column:
