@@ -525,3 +525,11 @@ def test_shards_grow_with_the_table(spark, tmp_path, monkeypatch):
 
 def test_test_sets_are_sorted_in_pieces_of_the_table(spark, tmp_path, monkeypatch):
     assert written_parts(spark, tmp_path, monkeypatch, "eval_samples_file", ".txt") >= 20
+
+
+def test_each_archive_is_a_task_of_its_own(spark, tmp_path):
+    paths = [archive(tmp_path / f"{i:02}.tar.gz", [(f"{i}.txt", f"t{i}")], "w:gz") for i in range(24)]
+    for rows in (tar.index_archives(spark, paths), tar._read_streams(spark, paths, False)):
+        # Dealt by a hash or from several partitions, some tasks had several archives.
+        assert sorted(len({r["archive"] for r in part}) for part in rows.rdd.glom().collect()) == [1] * 24
+    assert {r["__key__"]: r["text"] for r in tar.read_tar(spark, paths).collect()} == {str(i): f"t{i}" for i in range(24)}

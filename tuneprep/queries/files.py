@@ -117,7 +117,7 @@ def _add(archive: tarfile.TarFile, name: str, content: bytes) -> None:
 def sample_archive(path: str, batches: Batches) -> None:
     """A compressed archive of samples: JSON fields, a text and a named field each."""
     fs, inner = filesystem(path)
-    with fs.open_output_stream(inner) as out, tarfile.open(fileobj=out, mode="w|gz") as archive:
+    with fs.open_output_stream(inner) as out, tarfile.open(fileobj=out, mode="w|gz", compresslevel=1) as archive:
         for batch in batches:
             for row in batch.to_dict("records"):
                 key = f"{row['split']}/{row['doc_id']}"

@@ -102,6 +102,11 @@ def not_utf8(spark: SparkSession, paths: list[str]) -> set[str]:
     return marked | {rest[posixpath.abspath(filesystem(r["path"])[1])] for r in bad}
 
 
+def one_task_each(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path): a task for each file. Sliced, not dealt by an exchange, which gives some tasks several files and others none."""
+    return spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in paths], max(1, len(paths))), "path string")
+
+
 def utf8_copies(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
     """(path, copy): every file as UTF-8 in ``folder``, one task per file.
 
@@ -124,8 +129,7 @@ def utf8_copies(spark: SparkSession, paths: list[str], folder: str) -> DataFrame
                 copies.append(f"{folder}/{name}")
             yield pd.DataFrame({"path": batch["path"], "copy": copies})
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return files.mapInPandas(transcode, "path string, copy string")
+    return one_task_each(spark, paths).mapInPandas(transcode, "path string, copy string")
 
 
 def read_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -143,5 +147,4 @@ def read_any_encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return files.mapInPandas(decode, SCHEMA)
+    return one_task_each(spark, paths).mapInPandas(decode, SCHEMA)

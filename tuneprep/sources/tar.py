@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.operators.splitting import SPLIT
 from tuneprep.session import scratch_dir
-from tuneprep.sources.encoding import EIGHT_BIT, decode_bytes
+from tuneprep.sources.encoding import EIGHT_BIT, decode_bytes, one_task_each
 from tuneprep.sources.files import filesystem, utf_of
 from tuneprep.sources.jsonl import read_jsonl
 
@@ -213,8 +213,7 @@ def index_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
                 for frame in _framed(archive_index(path), INDEX):
                     yield frame.astype({"plain": "boolean", "tables": "boolean", "start": "Int64", "size": "Int64"})
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return files.mapInPandas(index, INDEX_SCHEMA)
+    return one_task_each(spark, paths).mapInPandas(index, INDEX_SCHEMA)
 
 
 def _read_ranges(members: DataFrame) -> DataFrame:
@@ -240,15 +239,15 @@ def _read_ranges(members: DataFrame) -> DataFrame:
     return ranges.select("archive", "tables", "ord", "name", "start", "size").mapInPandas(read, SCHEMA)
 
 
-def _read_streams(archives: DataFrame) -> DataFrame:
+def _read_streams(spark: SparkSession, paths: list[str], tables: bool) -> DataFrame:
     """Rows of other archives, one task for each."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, tables in zip(batch["archive"], batch["tables"], strict=True):
+            for path in batch["path"]:
                 yield from _framed(_archive_rows(path, tables), COLUMNS)
 
-    return archives.select("archive", "tables").repartition(max(1, archives.count()), "archive").mapInPandas(read, SCHEMA)
+    return one_task_each(spark, paths).mapInPandas(read, SCHEMA)
 
 
 def group_samples(rows: DataFrame, early: bool = False) -> DataFrame:
@@ -274,18 +273,19 @@ def archive_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     index = spark.read.parquet(folder)
     archives = index.where("name IS NULL").select("archive", "plain", "tables")
     members = index.where("name IS NOT NULL").drop("plain", "tables").join(archives.where("plain"), "archive")
-    streams = archives.where("NOT plain")
-    kinds = {tuple(r) for r in archives.select("plain", "tables").distinct().collect()}
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for r in archives.orderBy("archive").collect():  # a row for each path
+        kinds.setdefault((r["plain"], r["tables"]), []).append(r["archive"])
     parts = []
     if (True, True) in kinds:
         parts.append(_read_ranges(members.where("tables")).select(F.col("split").alias(SPLIT), "value"))
     if (False, True) in kinds:
-        parts.append(_read_streams(streams.where("tables")).select(F.col("split").alias(SPLIT), "value"))
+        parts.append(_read_streams(spark, kinds[False, True], True).select(F.col("split").alias(SPLIT), "value"))
     samples = []
     if (True, False) in kinds:
         samples.append(_read_ranges(members.where("NOT tables")))
     if (False, False) in kinds:
-        samples.append(_read_streams(streams.where("NOT tables")))
+        samples.append(_read_streams(spark, kinds[False, False], False))
     if samples:
         rows = samples[0] if len(samples) == 1 else samples[0].unionAll(samples[1])
         scope = ["archive", "split", "key"]
