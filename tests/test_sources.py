@@ -533,3 +533,15 @@ def test_each_archive_is_a_task_of_its_own(spark, tmp_path):
         # Dealt by a hash or from several partitions, some tasks had several archives.
         assert sorted(len({r["archive"] for r in part}) for part in rows.rdd.glom().collect()) == [1] * 24
     assert {r["__key__"]: r["text"] for r in tar.read_tar(spark, paths).collect()} == {str(i): f"t{i}" for i in range(24)}
+
+
+def test_archives_of_a_folder_share_a_reader(spark, tmp_path, monkeypatch):
+    from tuneprep.sources import load as loading
+
+    for i in range(5):
+        archive(tmp_path / f"{i}.tar", [(f"{i}.txt", f"t{i}"), (f"{i}.cls" if i else f"{i}.about.txt", "c")])
+    calls = []
+    monkeypatch.setattr(loading, "read_tar", lambda spark, paths: calls.append(len(paths)) or tar.read_tar(spark, paths))
+    got = load(spark, str(tmp_path)).df
+    assert calls == [5]
+    assert {(r["__key__"], r["text"], r["cls"]) for r in got.collect()} == {(str(i), f"t{i}" if i else "c", "c" if i else None) for i in range(5)}

@@ -146,7 +146,7 @@ def load_files(spark: SparkSession, paths: Sequence[str], encoding: str = "auto"
         for path, (kind, parts) in zip(paths, pool.map(_kind, paths), strict=True):
             if kind in ("csv", "tsv", "text", "json") and parts == [path]:
                 groups.setdefault((kind, head(path).split(b"\n")[0] if kind in ("csv", "tsv") else b""), []).append(path)
-            elif kind in ("array", "arrow", "parquet") and parts == [path]:
+            elif kind in ("array", "arrow", "parquet", "tar") and parts == [path]:
                 groups.setdefault((kind, b""), []).append(path)
             else:
                 single.append(path)
@@ -156,6 +156,8 @@ def load_files(spark: SparkSession, paths: Sequence[str], encoding: str = "auto"
             frames.append(read_json_array(spark, own))
         elif kind == "arrow":
             frames.append(read_arrow(spark, own))
+        elif kind == "tar":
+            frames.append(read_tar(spark, own).drop(SPLIT))
         elif kind == "parquet":
             frames.extend(spark.read.parquet(p) for p in own)
         else:
