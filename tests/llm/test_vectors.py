@@ -105,6 +105,17 @@ def test_no_tree_is_sent_once_for_each_pair_of_blocks(spark, monkeypatch):
     assert dealt and not any(kind == "binary" or kind.startswith("array") for types in dealt for kind in types.values())
 
 
+def test_odd_rows_among_pivots(spark, monkeypatch):
+    monkeypatch.setattr(V, "CHUNK", 4)
+    monkeypatch.setattr(V, "PER_PIVOT", 2)
+    rng, nan = np.random.default_rng(8), float("nan")
+    good = [(i, [float(x) for x in rng.choice([-1.0, 0.0, 0.01, 1.0, 1.02], 2) + 0.001], 1) for i in range(60)]
+    odd = [[1.0, None], [nan, 1.0], [0.0, -0.0], [], None, [1.0, 0.0, 0.0]]
+    rows = good + [(100 + i, odd[i % 6], 1) for i in range(36)] + [(200 + i, [1.0, 0.0], None) for i in range(9)]
+    rows += [(300, [1.0, -0.0], 1), (301, [1.0, 0.0], 1), (301, [1.0, 0.0], 1)]
+    assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows, 0.98)
+
+
 def test_rows_that_share_an_id_are_rows_of_their_own(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 2), (4, [1.0, 0.02], 1)]
     assert result(spark.createDataFrame(rows, SCHEMA)) == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)]

@@ -31,8 +31,9 @@ from tuneprep.llm.stage import spread, written
 from tuneprep.session import scratch_dir
 from tuneprep.sources.files import filesystem
 
-#: Vectors of one block, on average.
+#: Vectors of one block, on average, and their bytes in single precision.
 CHUNK = 1 << 16
+CHUNK_BYTES = 64 << 20
 #: One pivot for so many vectors at least, on average.
 PER_PIVOT = 160
 #: Bytes of all pivots, on average; they are sent to the tasks.
@@ -55,8 +56,12 @@ _FIELDS = pa.schema(
 
 def _vectors(column: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
     """Some rows of a column, all of one length, with one zero instead of two."""
-    starts = column.offsets.to_numpy()[rows]
-    return column.values.to_numpy(zero_copy_only=False)[starts[:, None] + np.arange(dim)] + 0.0
+    starts, values = column.offsets.to_numpy()[rows], column.values.to_numpy(zero_copy_only=False)
+    out, step = np.empty((len(rows), dim), dtype=values.dtype), max(1, (1 << 20) // dim)
+    for k in range(0, len(rows), step):
+        out[k : k + step] = values[starts[k : k + step, None] + np.arange(dim)]
+    out += 0.0
+    return out
 
 
 def _binary(vectors: np.ndarray) -> pa.Array:
@@ -264,7 +269,7 @@ def _pivots(rows: DataFrame, fine: Column, kind: str) -> dict[tuple[int, int], t
     a larger label, five for each square root of its rows at most.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy("label", "dim").count().where(F.col("count") >= 2 * PER_PIVOT).collect()
+    counts = rows.where("label IS NOT NULL AND dim > 0").groupBy("label", "dim").count().where(F.col("count") >= 2 * PER_PIVOT).collect()
     one_in = {(r["label"], r["dim"]): max(PER_PIVOT, math.isqrt(r["count"]) // 5) for r in counts}
     weight = sum(r["count"] / one_in[r["label"], r["dim"]] * 4 * r["dim"] for r in counts) / PIVOTS
     one_in = {key: math.ceil(n * max(1.0, weight)) for key, n in one_in.items()}
@@ -281,7 +286,7 @@ def _pivots(rows: DataFrame, fine: Column, kind: str) -> dict[tuple[int, int], t
     out, blocks = {}, 0
     for key in sorted(found):
         table = unit(np.frombuffer(b"".join(sorted(found[key])), dtype=kind).reshape(-1, key[1]).astype(np.float64)).astype(np.float32)
-        block = _dealt(table, max(1, CHUNK // one_in[key]))
+        block = _dealt(table, max(1, min(CHUNK, CHUNK_BYTES // (4 * key[1])) // one_in[key]))
         many = int(block.max()) + 1
         out[key] = table, block + blocks if many > 1 else np.full(len(table), -1, dtype=np.int32)
         blocks += many if many > 1 else 0
